@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.rounding import round_binary
+
 _MICROS = 1_000_000
 
 
@@ -28,4 +30,4 @@ def epoch_micros(df: DataFrame, name: str) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """Seconds with two decimals between two microsecond columns."""
-    return F.round((end - start) / _MICROS, 2)
+    return round_binary((end - start) / _MICROS, 2)

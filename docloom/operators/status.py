@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
+from docloom.functions.rounding import round_binary
 from docloom.functions.times import epoch_micros, seconds_between
 
 # The error shown when a failed event names none, and the step overview's defaults.
@@ -239,7 +240,7 @@ def job_elapsed(events: DataFrame) -> DataFrame:
         .select(
             "job_id",
             ms.cast("bigint").alias("elapsed_ms"),
-            F.round(ms / 1000, 2).alias("elapsed_s"),
+            round_binary(ms / 1000, 2).alias("elapsed_s"),
         )
     )
 

@@ -151,9 +151,10 @@ def job_upsert(spark, sf_dir):
 
 @query(
     "step_elapsed",
-    """select job_id, step, round((max(epoch_us(ts)) filter (step_status <> 'running')
-  - min(epoch_us(ts)) filter (step_status = 'running')) / 1000000, 2) as elapsed_s
-from status_events where step_status is not null group by job_id, step""",
+    f"""select job_id, step, {P.round_binary('s', 2)} as elapsed_s
+from (select job_id, step, (max(epoch_us(ts)) filter (step_status <> 'running')
+    - min(epoch_us(ts)) filter (step_status = 'running')) / 1000000 as s
+  from status_events where step_status is not null group by job_id, step) t""",
 )
 def step_elapsed(spark, sf_dir):
     return status.step_elapsed(_events(spark, sf_dir))
@@ -161,8 +162,8 @@ def step_elapsed(spark, sf_dir):
 
 @query(
     "job_elapsed",
-    """select job_id, case when e >= b then e - b end as elapsed_ms,
-  case when e >= b then round((e - b) / 1000, 2) end as elapsed_s
+    f"""select job_id, case when e >= b then e - b end as elapsed_ms,
+  case when e >= b then {P.round_binary('((e - b) / 1000)', 2)} end as elapsed_s
 from (select job_id, min(epoch_us(ts) // 1000) filter (status = 'processing') as b,
     min(epoch_us(ts) // 1000) filter (status in ('completed', 'failed')) as e
   from status_events group by job_id) t""",

@@ -85,9 +85,17 @@ flagged as (select doc_id, key, val,
   json_type(raw) = 'NULL' or raw::varchar in ('""', '[]', '{}') as is_blank from entries),
 ai as (select doc_id, count(*) as ai_fields, count(*) filter (not is_blank) as kept from flagged group by doc_id)"""
 
-SCORE = """score_parts as (select doc_id, coalesce(confidence, 1.0) as c from conf),
-scored as (select doc_id, c, case when n % 2 = 1 and c * 100 = n / 20.0
-    then (case when c * 100 * 16 - n + c * 100 * 4 < 0 or (c * 100 * 16 - n + c * 100 * 4 = 0 and (n // 2) % 2 = 0)
-      then n // 2 else n // 2 + 1 end) / 10.0
-    else round(c * 100, 1) end as score
-  from (select doc_id, c, cast(round(c * 100 * 20) as bigint) as n from score_parts) p)"""
+
+
+def round_binary(x: str, digits: int) -> str:
+    """Rounding by exact binary value, ties to even, of a double expression."""
+    unit, powers = {1: (10, (16, 4)), 2: (100, (128, 64, 8))}[digits]
+    size, n = f"abs({x})", f"cast(round(abs({x}) * {2 * unit}) as bigint)"
+    rest = f"({size} * {powers[0]} - {n}" + "".join(f" + {size} * {p}" for p in powers[1:]) + ")"
+    down = f"{rest} < 0 or ({rest} = 0 and ({n} // 2) % 2 = 0)"
+    at_tie = f"sign({x}) * (case when {down} then {n} // 2 else {n} // 2 + 1 end) / {unit}.0"
+    return f"case when {n} % 2 = 1 and {size} = {n} / {2 * unit}.0 then {at_tie} else round({x}, {digits}) end"
+
+
+SCORE = f"""scored as (select doc_id, c, {round_binary('c * 100', 1)} as score
+  from (select doc_id, coalesce(confidence, 1.0) as c from conf) p)"""
