@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fields, text
+from docloom.operators.layout import explode_rows
 
 
 def _others(df: DataFrame, *taken: str) -> list[str]:
@@ -28,31 +29,16 @@ def clean_stats(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def trimmed_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     """One row per trimmed line, with ``line_no`` from 1 and the rule-line flag."""
-    lines = docs.select(
-        *_others(docs, column), F.posexplode(text.doc_lines(F.col(column))).alias("pos", "line")
-    )
-    return lines.select(
-        *_others(docs, column),
-        (F.col("pos") + 1).alias("line_no"),
-        "line",
-        text.is_rule_line(F.col("line")).alias("is_rule"),
-    )
+    lines = text.doc_lines(F.col(column))
+    rows = explode_rows(docs, _others(docs, column), lines, "line_no", "line")
+    return rows.withColumn("is_rule", text.is_rule_line(F.col("line")))
 
 
 def candidate_lines(docs: DataFrame, column: str = "cleaned_text") -> DataFrame:
     """K1-K3: undecorated lines of a cleaned text with their line number and candidate flag."""
-    lines = docs.select(
-        *_others(docs, column),
-        F.posexplode(F.transform(fields.text_lines(F.col(column)), fields.undecorated)).alias(
-            "pos", "line"
-        ),
-    )
-    return lines.select(
-        *_others(docs, column),
-        (F.col("pos") + 1).alias("line_no"),
-        "line",
-        fields.is_candidate(F.col("line")).alias("is_candidate"),
-    )
+    lines = F.transform(fields.text_lines(F.col(column)), fields.undecorated)
+    rows = explode_rows(docs, _others(docs, column), lines, "line_no", "line")
+    return rows.withColumn("is_candidate", fields.is_candidate(F.col("line")))
 
 
 def extract(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -66,10 +52,7 @@ def extract(docs: DataFrame, column: str = "text") -> DataFrame:
 def field_rows(docs: DataFrame, column: str = "text") -> DataFrame:
     """K6 in long form: ``(…, field_no, key, val)``, one row per field of a raw text."""
     found = fields.extract_fields(text.clean_text(F.col(column)))
-    rows = docs.select(*_others(docs, column), F.posexplode(found).alias("pos", "field"))
+    rows = explode_rows(docs, _others(docs, column), found, "field_no", "field")
     return rows.select(
-        *_others(docs, column),
-        (F.col("pos") + 1).alias("field_no"),
-        F.col("field.key").alias("key"),
-        F.col("field.value").alias("val"),
+        *_others(docs, column), "field_no", F.col("field.key"), F.col("field.value").alias("val")
     )

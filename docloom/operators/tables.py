@@ -6,30 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import grids
+from docloom.operators.layout import explode_rows
 
 
 def nonempty_tables(docs: DataFrame) -> DataFrame:
     """G1: one row per table that has rows: ``(doc_id, table_idx, n_rows)``, indexes from 1."""
-    rows = docs.select("doc_id", F.posexplode(grids.nonempty(F.col("tables"))).alias("pos", "t"))
-    return rows.select(
-        "doc_id", (F.col("pos") + 1).alias("table_idx"), F.size("t").alias("n_rows")
-    )
+    tables = explode_rows(docs, ["doc_id"], grids.nonempty(F.col("tables")), "table_idx", "t")
+    return tables.select("doc_id", "table_idx", F.size("t").alias("n_rows"))
 
 
 def cells(docs: DataFrame) -> DataFrame:
     """One row per cell: ``(doc_id, table_idx, row_idx, col_idx, cell)``; ragged rows are fine."""
-    tables = docs.select(
-        "doc_id", F.posexplode(grids.nonempty(F.col("tables"))).alias("t_pos", "t")
-    )
-    rows = tables.select("doc_id", "t_pos", F.posexplode("t").alias("r_pos", "r"))
-    cell_rows = rows.select("doc_id", "t_pos", "r_pos", F.posexplode("r").alias("c_pos", "cell"))
-    return cell_rows.select(
-        "doc_id",
-        (F.col("t_pos") + 1).alias("table_idx"),
-        (F.col("r_pos") + 1).alias("row_idx"),
-        (F.col("c_pos") + 1).alias("col_idx"),
-        "cell",
-    )
+    tables = explode_rows(docs, ["doc_id"], grids.nonempty(F.col("tables")), "table_idx", "t")
+    rows = explode_rows(tables, ["doc_id", "table_idx"], "t", "row_idx", "r")
+    return explode_rows(rows, ["doc_id", "table_idx", "row_idx"], "r", "col_idx", "cell")
 
 
 def preview_rows(rows: DataFrame, table_keys: list[str], order: list) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import grids, model, quality
 from docloom.operators import enrichment, extraction, results, tables
+from docloom.operators.layout import explode_rows
 from docloom.plans import sql_parts as P
 from docloom.plans.registry import query
 from docloom.plans.views import table, view
@@ -21,7 +22,7 @@ _PROMPT = "concat('" + model.USER_PROMPT.replace("'", "''") + f"', {_CUT})"
 
 
 def _cleaned_documents(spark, sf_dir) -> DataFrame:
-    return extraction.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return extraction.clean(table(spark, sf_dir, "documents", "documents").select("doc_id", "text"))
 
 
 @query("llm_truncate", P.steps(_CLEANED_DOCS, select=f"select doc_id, {_CUT} as shown from cleaned"))
@@ -116,7 +117,7 @@ t as (select doc_id, unnest(tables) as t, generate_subscripts(tables, 1) as tabl
 
 
 def _documents_with_tables(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "documents")
     return docs.select("doc_id", grid_of(F.col("text")).alias("tables"))
 
 
@@ -310,8 +311,11 @@ def doc_result(spark, sf_dir):
     ),
 )
 def extract_choose(spark, sf_dir):
-    chosen = built(spark, sf_dir).select("doc_id", "ai_extraction", F.explode("key_values").alias("key", "v"))
-    return chosen.select("doc_id", "ai_extraction", "key", F.col("v").cast("string").alias("val"))
+    chosen = explode_rows(
+        built(spark, sf_dir), ["doc_id", "ai_extraction"], F.map_entries("key_values"), "field_no", "field"
+    )
+    value = F.col("field.value").cast("string")
+    return chosen.select("doc_id", "ai_extraction", F.col("field.key").alias("key"), value.alias("val"))
 
 
 @query(

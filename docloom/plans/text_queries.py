@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fields, text
 from docloom.operators import extraction
+from docloom.operators.layout import explode_rows
 from docloom.plans import sql_parts as P
 from docloom.plans.registry import query
 from docloom.plans.views import view
@@ -85,14 +86,20 @@ def kv_regex(spark, sf_dir):
     return extraction.field_rows(view(spark, sf_dir, "texts"))
 
 
+def _map_rows(spark, sf_dir):
+    """The field map of each text, taken apart again in its order."""
+    found = extraction.extract(view(spark, sf_dir, "texts"))
+    entries = F.map_entries(fields.fields_map(F.col("fields")))
+    rows = explode_rows(found, ["kind", "doc_id"], entries, "row_no", "entry")
+    return rows.select("kind", "doc_id", "row_no", "entry.key", F.col("entry.value").alias("val"))
+
+
 @query(
     "kv_map",
     P.steps(P.kv_steps("texts", KEYS), select="select kind, doc_id, key, val from kv"),
 )
 def kv_map(spark, sf_dir):
-    found = extraction.extract(view(spark, sf_dir, "texts"))
-    maps = found.select("kind", "doc_id", fields.fields_map(F.col("fields")).alias("key_values"))
-    return maps.select("kind", "doc_id", F.explode("key_values").alias("key", "val"))
+    return _map_rows(spark, sf_dir).drop("row_no")
 
 
 @query(
@@ -103,10 +110,8 @@ def kv_map(spark, sf_dir):
     ),
 )
 def kv_flat(spark, sf_dir):
-    found = extraction.extract(view(spark, sf_dir, "texts"))
-    maps = found.select("kind", "doc_id", fields.fields_map(F.col("fields")).alias("key_values"))
-    rows = maps.select("kind", "doc_id", F.posexplode("key_values").alias("pos", "field", "value"))
-    return rows.select("kind", "doc_id", (F.col("pos") + 1).alias("row_no"), "field", "value")
+    rows = _map_rows(spark, sf_dir)
+    return rows.withColumnsRenamed({"key": "field", "val": "value"})
 
 
 @query(

@@ -10,13 +10,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.operators.layout import spread
+
 TABLES = ("customer", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
-VIEWS = {
-    # Untidy invoice-like text, one per order.
-    "forms": """
-select o.o_orderkey as doc_id,
-  concat('# Order', chr(9), 'Form', chr(13), chr(10), '======', chr(10), chr(10), chr(10), chr(10),
+# File name of an order's document, and its untidy invoice-like text.
+_FILENAME = """concat('order-', cast(o.o_orderkey as string), case o.o_orderkey % 5 when 0 then '.pdf'
+      when 1 then '.XLSX' when 2 then '.docx' when 3 then '.png' else '.txt' end)"""
+_FORM = """concat('# Order', chr(9), 'Form', chr(13), chr(10), '======', chr(10), chr(10), chr(10), chr(10),
     '**  Order Key: ', cast(o.o_orderkey as string), chr(10),
     '- Customer:', chr(9), c.c_name, chr(7), chr(10),
     'Order Date : ', cast(cast(o.o_orderdate as date) as string), chr(10), '|---|---|', chr(10),
@@ -24,8 +25,12 @@ select o.o_orderkey as doc_id,
     'No: x', chr(10),
     case when o.o_orderkey % 7 = 0 then concat('Customer: duplicate', chr(10)) else '' end,
     case when o.o_orderkey % 5 = 0 then '' else concat('Priority: ', o.o_orderpriority, chr(10)) end,
-    '   ', chr(10)) as text
-from {orders} o join {customer} c on o.o_custkey = c.c_custkey""",
+    '   ', chr(10))"""
+
+VIEWS = {
+    "forms": f"""
+select o.o_orderkey as doc_id, {_FORM} as text
+from {{orders}} o join {{customer}} c on o.o_custkey = c.c_custkey""",
     # All texts: forms, documents, raw pages and conversation turns.
     "texts": """
 select 'form' as kind, doc_id, text from forms
@@ -45,12 +50,11 @@ select job_id, filename, concat('uploads/', cast(job_id as string), '/', filenam
   case when status = 'completed' then created_at end as completed_at
 from (
   select o_orderkey as job_id, o_totalprice as price, o_orderdate as created_at,
-    concat('order-', cast(o_orderkey as string), case o_orderkey % 5 when 0 then '.pdf'
-      when 1 then '.XLSX' when 2 then '.docx' when 3 then '.png' else '.txt' end) as filename,
+    {filename} as filename,
     cast(round(o_totalprice * 100) as bigint) as file_size,
     case when o_orderstatus = 'O' then 'queued' when o_orderstatus = 'P' then 'processing'
       when o_orderkey % 10 = 3 then 'failed' else 'completed' end as status
-  from {orders}) j""",
+  from {orders} o) j""".replace("{filename}", _FILENAME),
     # Upload attempts: names of many shapes, sizes on both sides of the limit.
     "uploads": """
 select o_orderkey as job_id,
@@ -126,10 +130,14 @@ from {orders} o left join (select l_orderkey, min(1.0 - l_tax) as confidence
     "conf_text": """
 select doc_id, case when doc_id % 17 = 0 then 'n/a' else cast(confidence as string) end as confidence
 from conf""",
-    # What conversion gives for each form.
-    "converted": """
-select f.doc_id, j.job_id, j.filename, j.file_key, f.text, c.confidence, j.created_at
-from forms f join jobs j on j.job_id = f.doc_id join conf c on c.doc_id = f.doc_id""",
+    # What conversion gives for each form. Joins come first and carry narrow rows only.
+    "converted": f"""
+select o.o_orderkey as doc_id, o.o_orderkey as job_id, {_FILENAME} as filename,
+  concat('uploads/', cast(o.o_orderkey as string), '/', {_FILENAME}) as file_key,
+  {_FORM} as text, l.confidence, o.o_orderdate as created_at
+from {{orders}} o join {{customer}} c on o.o_custkey = c.c_custkey
+left join (select l_orderkey, min(1.0 - l_tax) as confidence from {{lineitem}} group by l_orderkey) l
+  on l.l_orderkey = o.o_orderkey""",
 }
 
 
@@ -167,11 +175,32 @@ def check_sql(query: str) -> str:
     return with_views(query).format(**{t: t for t in TABLES})
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Unique key of each table whose rows are costly to work on, and the views that do that work.
+KEYS = {
+    "orders": ("o_orderkey",),
+    "events": ("event_id",),
+    "documents": ("doc_id",),
+    "pages": ("page_id",),
+    "conversations": ("conv_id", "turn"),
+}
+SPREAD = {
+    "forms": ("orders",),
+    "texts": ("orders", "documents", "pages", "conversations"),
+    "converted": ("orders",),
+    "llm": ("events",),
+    "event_messages": ("events",),
+    "documents": ("documents",),
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, for_view: str | None = None) -> DataFrame:
+    """A given table; spread over the task slots where ``for_view`` works hard on each row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *KEYS[name]) if name in SPREAD.get(for_view or "", ()) else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; reads the files directly and registers nothing in the session."""
+    """A view as a DataFrame; tables are passed in, so nothing is registered in the session."""
     sql = with_views(f"select * from {name}")
-    return spark.sql(sql.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    used = {t: table(spark, sf_dir, t, name) for t in TABLES if f"{{{t}}}" in sql}
+    return spark.sql(sql, **used)
