@@ -16,6 +16,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def change_where(
+    value: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]
+) -> Column:
+    """``change(value)`` where ``test(value)`` holds, else the value; computes ``value`` once."""
+    return let(value, lambda v: F.when(test(v), change(v)).otherwise(v))
+
+
 def _sorted_keys(entries: Column) -> Column:
     return F.array_sort(
         F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos")))

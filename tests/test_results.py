@@ -1,0 +1,178 @@
+"""Result records, their JSON, ledger and events; tables; layout of the joins."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from docloom import schemas as S
+from docloom.functions import grids
+from docloom.operators import layout, results, tables
+from docloom.sources import sinks
+from tests.conftest import plan_of
+
+DOCS = [
+    (1, "j1", "a.pdf", "Name: Bob\nÜber: 1\n---\nx", [[["h", "k"], ["1"]], []], 0.9496),
+    (2, "j2", "b.pdf", "nothing", None, None),
+    (3, "j3", "c.pdf", "Name: Eve", [], 0.5),
+]
+ANSWERS = [(1, 'Sure {"Name": "Model", "Empty": "", "n": 1.5}'), (3, "cannot")]
+
+
+def built(spark):
+    docs = spark.createDataFrame(
+        DOCS,
+        "doc_id bigint, job_id string, filename string, text string, "
+        "tables array<array<array<string>>>, confidence double",
+    )
+    answers = spark.createDataFrame(ANSWERS, "doc_id bigint, response string")
+    return results.build(docs, answers).withColumns(
+        {
+            "elapsed_ms": F.lit(1500),
+            "started_at": F.lit(1700000000.25),
+            "completed_at": F.lit("2024-02-03 04:05:06").cast("timestamp"),
+        }
+    )
+
+
+def test_record(spark):
+    rows = {r.job_id: json.loads(r.result) for r in results.completed_rows(built(spark)).collect()}
+    assert set(rows["j1"]) == set(results.RESULT_FIELDS) and len(results.RESULT_FIELDS) == 13
+    one, two, three = rows["j1"], rows["j2"], rows["j3"]
+    assert one["key_values"] == {"Name": "Model", "n": 1.5} == one["ai_result"]["key_values"]
+    assert one["cleaned_text"] == "Name: Bob\nÜber: 1\nx"
+    assert (one["doc_confidence"], one["passes"]) == (95.0, False)
+    assert one["tables"] == [[["h", "k"], ["1"]]] and one["tables_found"] == 1
+    assert (one["kv_found"], one["ai_extraction"]) == (2, True)
+    assert (two["key_values"], two["ai_result"], two["tables"], two["doc_confidence"]) == ({}, None, [], 100.0)
+    assert (three["key_values"], three["ai_extraction"], three["kv_found"]) == ({"Name": "Eve"}, False, 1)
+
+
+def test_ledger(spark):
+    rows = results.ledger_rows(built(spark), "doc_id").orderBy("doc_id", "entry_no").collect()
+    assert [(r.step, r.status, r.detail) for r in rows if r.doc_id == 1] == [
+        ("OCR", "running", "Reading document..."),
+        ("OCR", "ok", "23 chars, 95.0%"),
+        ("Clean Text", "running", "Cleaning..."),
+        ("Clean Text", "ok", "23 → 19 chars"),
+        ("Qwen", "running", "Extracting with AI..."),
+        ("Qwen", "ok", "3 fields"),
+        ("Validate JSON", "running", "Validating..."),
+        ("Validate JSON", "ok", "2 fields extracted"),
+    ]
+    assert [(r.status, r.detail) for r in rows if r.doc_id == 3][5::2] == [
+        ("fallback", "Using regex fallback"),
+        ("skip", "No AI result"),
+    ]
+
+
+def test_a_finished_job_reports_18_events(spark):
+    rows = results.emit_events(built(spark)).filter("job_id = 'j1'").orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(18))
+    assert (rows[0].status, rows[0].step, rows[0].step_status) == ("processing", "OCR", None)
+    assert (rows[17].status, rows[17].step, rows[17].elapsed_ms) == ("completed", None, 1500)
+    assert [r.step_status for r in rows[1:17]] == [
+        x for s in ("running", "ok", "running", "ok", "running", "ok", "running", "ok") for x in (None, s)
+    ]
+    names = {f.name for f in S.STATUS_EVENT.fields}
+    assert names <= set(rows[0].asDict()) and rows[0].timestamp == 1700000000.25
+
+
+def test_a_failed_job_reports_two(spark):
+    failed = spark.createDataFrame([("j", "Storage download failed: k", 1.0)], "job_id string, error string, started_at double")
+    rows = results.emit_failures(failed).orderBy("seq").collect()
+    assert [(r.status, r.error) for r in rows] == [
+        ("processing", None),
+        ("failed", "Storage download failed: k"),
+    ]
+    text = spark.sql("select 'ValueError' as k, 'bad' as m").select(results.error_text(F.col("k"), F.col("m")))
+    assert text.first()[0] == "ValueError: bad"
+
+
+def test_counts_never_shuffle_a_text(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(100).select(
+            F.col("id").alias("doc_id"), F.lit("f").alias("filename"), F.lit("Name: x").alias("text"),
+            F.lit(None).cast("array<array<array<string>>>").alias("tables"), F.lit(1.0).alias("confidence"),
+        )
+        docs.write.parquet(str(tmp_path / "docs"))
+        answers = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("{}").alias("response"))
+        answers.write.parquet(str(tmp_path / "answers"))
+        read = spark.read.parquet
+        df = results.build(read(str(tmp_path / "docs")), read(str(tmp_path / "answers"))).select("doc_id", "kv_found", "passes")
+        plan = plan_of(df)
+        shuffled = [b for b in plan.split("\n\n") if ") Exchange" in b]
+        assert len(shuffled) == 2
+        assert not any("text#" in b.split("Arguments")[0] for b in shuffled)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(100).select(
+            F.col("id").alias("doc_id"), F.lit("f").alias("filename"), F.lit("Name: x").alias("text"),
+            F.lit(None).cast("array<array<array<string>>>").alias("tables"), F.lit(1.0).alias("confidence"),
+        )
+        answers = spark.range(100).select(F.col("id").alias("doc_id"), F.lit('{"a": 1}').alias("response"))
+        sinks.save_bucketed(docs, "bucketed_docs", "doc_id", 4)
+        sinks.save_bucketed(answers, "bucketed_answers", "doc_id", 4)
+        df = results.build(spark.table("bucketed_docs"), spark.table("bucketed_answers"))
+        assert "Exchange" not in plan_of(df.select("doc_id", "cleaned_text", "key_values"))
+        assert df.filter("ai_extraction").count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table if exists bucketed_docs")
+        spark.sql("drop table if exists bucketed_answers")
+
+
+def test_results_by_day(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.save_by_date(results.completed_rows(built(spark)), path, "completed_at")
+    back = spark.read.parquet(path)
+    assert back.count() == 3 and str(back.first().period) == "2024-02-03"
+
+
+def test_grids(spark):
+    long = [[str(i), "x"] for i in range(12)]
+    df = spark.createDataFrame(
+        [(1, [[], [["a"], ["b", "c"]], []]), (2, None), (3, [long])], "doc_id int, tables array<array<array<string>>>"
+    )
+    counts = {r.doc_id: r.n for r in df.select("doc_id", grids.tables_found(F.col("tables")).alias("n")).collect()}
+    assert counts == {1: 1, 2: 0, 3: 1}
+    cells = [tuple(r) for r in tables.cells(df).filter("doc_id = 1").collect()]
+    assert sorted(cells) == [(1, 1, 1, 1, "a"), (1, 1, 2, 1, "b"), (1, 1, 2, 2, "c")]
+    shown = {r.doc_id: r.p for r in df.select("doc_id", grids.preview(F.col("tables")).alias("p")).collect()}
+    assert shown[3] == [long[:10]] and shown[1] == [[["a"], ["b", "c"]]]
+
+
+def test_preview_of_a_huge_table_is_limited_before_the_shuffle(spark):
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("doc_id"), F.col("id").alias("n")
+    )
+    df = tables.preview_rows(rows, ["doc_id"], ["n"])
+    assert plan_of(df).count("WindowGroupLimit") >= 2
+    hot = df.filter("doc_id = -1").orderBy("row_idx").collect()
+    assert [(r.n, r.row_idx, r.is_header) for r in hot][:2] == [(1, 1, True), (2, 2, False)]
+    assert len(hot) == 10
+
+
+def test_explode_rows_computes_its_input_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id int, text string")
+    made = docs.select("doc_id", F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
+    df = layout.explode_rows(made, ["doc_id"], "words", "n", "word")
+    assert [tuple(r) for r in df.orderBy("n").collect()] == [(1, 1, "a"), (1, 2, "b")]
+    assert plan_of(df).count("split(") == 1
+
+
+def test_spread_leaves_large_inputs_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10_000).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert "Exchange" in plan_of(layout.spread(df, "id"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1KB")
+    try:
+        assert "Exchange" not in plan_of(layout.spread(df, "id"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
