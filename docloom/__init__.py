@@ -7,6 +7,6 @@
 ``plans``      the registered queries over the given tables and their check SQL
 """
 
-from docloom.session import session
+from docloom.session import get_session
 
-__all__ = ["session"]
+__all__ = ["get_session"]

@@ -18,7 +18,7 @@ SETTINGS = {
 }
 
 
-def session(app_name: str = "docloom", **settings: str) -> SparkSession:
+def get_session(app_name: str = "docloom", **settings: str) -> SparkSession:
     """Get or create a session with :data:`SETTINGS`; extra settings win (use ``__`` for dots)."""
     builder = SparkSession.builder.appName(app_name)
     for key, value in SETTINGS.items():

@@ -1,0 +1,58 @@
+"""Every registered query against its SQL, and the shape of its plan."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from tests.conftest import plan_of
+from tools.check import same_rows
+
+SF_DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are missing")
+
+PYTHON_QUERIES = {"llm_enrich"}
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    con.sql("set timezone='UTC'")
+    for f in sorted(os.listdir(SF_DIR)):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF_DIR}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_query(spark, tables, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    result = tables.sql(entry.oracle_sql()[name])
+    problem = same_rows(result.columns, result.fetchall(), df.columns, [tuple(r) for r in df.collect()])
+    assert problem is None, problem
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert name in PYTHON_QUERIES or "Python" not in plan and "InPandas" not in plan
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["kind", "doc_id", "field_no", "key", "val"]
+    assert df.limit(5).count() == 5
+
+
+def test_every_query_has_sql_but_the_file_scan():
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"doc_scan"}
+
+
+def test_file_scan(spark):
+    rows = entry.queries()["doc_scan"](spark, SF_DIR).collect()
+    assert {r.filename: r.file_size for r in rows} == {f: os.path.getsize(f"{SF_DIR}/{f}") for f in os.listdir(SF_DIR)}
+
+
+@pytest.mark.parametrize("name", ["clean_text", "kv_regex", "kv_map", "kv_found", "kv_lines", "clean_stats", "llm_prompt"])
+def test_text_queries_are_narrow(spark, name):
+    """No shuffle apart from the spreading of tables too small for their own splits."""
+    plan = plan_of(entry.queries()[name](spark, SF_DIR), "simple")
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert all("REPARTITION_BY_NUM" in line for line in exchanges)
