@@ -18,6 +18,7 @@ from docloom.functions.times import epoch_micros, seconds_between
 DEFAULT_ERROR = "Job failed"
 STEP_SKIPPED = ("skip", "dilewati")
 STORE_DONE = ("ok", "tersimpan")
+JSON_BLANKS = " \t\n\r"
 
 
 def is_terminal(status: Column) -> Column:
@@ -36,18 +37,21 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     reader would accept text after a complete object. A field of the wrong type becomes null and
     the message stays.
     """
-    member = S.STATUS_EVENT.simpleString()
-    wrapped = F.concat(F.lit('{"message":'), F.col(column), F.lit(',"message_ends":true}'))
+    body = F.btrim(F.col(column), F.lit(JSON_BLANKS))
+    wrapped = F.concat(F.lit('{"message":'), body, F.lit(',"message_ends":true}'))
     parsed = F.from_json(
         wrapped,
-        f"message {member}, message_ends boolean",
+        f"message {S.STATUS_EVENT.simpleString()}, message_ends boolean",
         {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
     )
     others = [c for c in raw.columns if c != column]
+    # A cheap look at both ends spares the parser most damaged messages. The parsed message comes
+    # out of a generator, since a filter on a computed column would compute it once more.
     return (
-        raw.select(*others, parsed.alias("m"))
-        .filter(F.col("m.message_ends") & F.col("m.message").isNotNull())
-        .select(*others, "m.message.*")
+        raw.filter(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")))
+        .select(*others, F.inline(F.array(parsed)))
+        .filter(F.col("message_ends") & F.col("message").isNotNull())
+        .select(*others, "message.*")
     )
 
 
