@@ -75,7 +75,8 @@ def llm_enrich(spark, sf_dir):
 
     model_head = model.USER_PROMPT
     requests = enrichment.requests(_cleaned_documents(spark, sf_dir))
-    return enrichment.respond(requests, client_factory, concurrency=8)
+    slots = spark.sparkContext.defaultParallelism
+    return enrichment.respond(requests, client_factory, concurrency=slots)
 
 
 @query(

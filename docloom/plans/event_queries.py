@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
 from docloom.operators import admission, status
+from docloom.operators.layout import spread
 from docloom.plans import document_queries as docs
 from docloom.plans import sql_parts as P
 from docloom.plans.registry import query
@@ -16,19 +19,30 @@ from docloom.sources import files as file_source
 from docloom.sources import sinks
 from docloom.streaming import queries as streams
 
-LANDED_FILES = 4  # how the landed input is split, so that streams see several micro-batches
+BATCHES = 4  # micro-batches that a landed input is read in
 
 
 def _events(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "status_events").drop("event_id")
 
 
-def _landed(spark, rows: DataFrame, purpose: str, order: str | None = None) -> DataFrame:
-    """``rows`` written to a landing folder and opened as a stream, one file per micro-batch."""
+def _landed(spark, rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` written to a landing folder and opened as a stream of a few micro-batches.
+
+    Large inputs keep their partitions; small ones are split so that there is a file per batch.
+    """
     path = shared_dir(spark, purpose)
-    spread = rows.repartition(LANDED_FILES) if order is None else rows.repartitionByRange(LANDED_FILES, order)
-    sinks.append(spread, path)
-    return file_source.event_stream(spark, path, files_per_trigger=1, schema=rows.schema)
+    sinks.append(spread(rows, rows.columns[0]), path)
+    n_files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    per_batch = max(1, math.ceil(n_files / BATCHES))
+    return file_source.event_stream(spark, path, files_per_trigger=per_batch, schema=rows.schema)
+
+
+def _stored(spark, rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` written as a table, so that no micro-batch computes them again."""
+    path = shared_dir(spark, purpose)
+    sinks.append(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _finish(query) -> None:
@@ -210,8 +224,8 @@ def _run_jobs(spark, sf_dir) -> DataFrame:
     messages = admission.queue_messages(converted)
     landed = _landed(spark, messages, "queue")
     out = shared_dir(spark, "results")
-    static = converted.drop("job_id", "filename", "created_at")
-    answers = view(spark, sf_dir, "llm")
+    static = _stored(spark, converted.drop("job_id", "filename", "created_at"), "converted")
+    answers = _stored(spark, view(spark, sf_dir, "llm"), "answers")
     _finish(streams.run_jobs(landed, static, answers, out, shared_dir(spark, "checkpoint")))
     return spark.read.parquet(out)
 
@@ -226,9 +240,54 @@ def stream_results(spark, sf_dir):
     return stored.select("job_id", "doc_id", *docs._FLAT)
 
 
+@query(
+    "stream_jobs",
+    """select cast(j.job_id as varchar) as job_id, j.filename,
+  case when o.file_key is null then 'failed' else 'completed' end as status,
+  case when o.file_key is null then 'OCR' else 'Validate JSON' end as current_step,
+  case when o.file_key is null then concat('Storage download failed: ', j.file_key) end as error,
+  o.file_key is not null as has_elapsed, o.file_key is not null as has_completed_at
+from jobs j left join objects o on o.file_key = j.file_key""",
+)
+def stream_jobs(spark, sf_dir):
+    """Queue to job table: all jobs run as a stream, their events folded into their rows."""
+    stored = view(spark, sf_dir, "objects").select("file_key")
+    every = docs.converted(spark, sf_dir)
+    registered = view(spark, sf_dir, "jobs").select(
+        F.col("job_id").cast("string").alias("job_id"), "filename", "file_key"
+    )
+    landed = _landed(spark, admission.queue_messages(registered), "queue")
+    out, events_out = shared_dir(spark, "results"), shared_dir(spark, "events")
+    held = every.drop("job_id", "filename", "created_at").join(stored, "file_key", "left_semi")
+    static, answers = _stored(spark, held, "converted"), _stored(spark, view(spark, sf_dir, "llm"), "answers")
+    checkpoint = shared_dir(spark, "checkpoint")
+    _finish(streams.run_jobs(landed, static, answers, out, checkpoint, events_out))
+    events = spark.read.parquet(events_out).drop("batch_id")
+    queued = registered.withColumns(
+        {
+            "status": F.lit(S.QUEUED),
+            "current_step": F.lit(None).cast("string"),
+            "error": F.lit(None).cast("string"),
+            "elapsed_ms": F.lit(None).cast("int"),
+            "updated_at": F.lit(None).cast("timestamp"),
+            "completed_at": F.lit(None).cast("timestamp"),
+        }
+    )
+    rows = status.upsert_jobs(queued, events)
+    return rows.select(
+        "job_id",
+        "filename",
+        "status",
+        "current_step",
+        "error",
+        F.col("elapsed_ms").isNotNull().alias("has_elapsed"),
+        F.col("completed_at").isNotNull().alias("has_completed_at"),
+    )
+
+
 @query("stream_current", _CURRENT)
 def stream_current(spark, sf_dir):
-    landed = _landed(spark, _events(spark, sf_dir), "events", "seq")
+    landed = _landed(spark, _events(spark, sf_dir), "events")
     out = shared_dir(spark, "states")
     _finish(streams.follow_state(landed, out, shared_dir(spark, "checkpoint")))
     states = spark.read.parquet(out)
@@ -237,7 +296,7 @@ def stream_current(spark, sf_dir):
 
 @query("stream_terminal_cut", _CUT_SQL)
 def stream_terminal_cut(spark, sf_dir):
-    landed = _landed(spark, _events(spark, sf_dir), "events", "seq")
+    landed = _landed(spark, _events(spark, sf_dir), "events")
     out, closed = shared_dir(spark, "passed"), shared_dir(spark, "closed")
     _finish(streams.follow_until_closed(landed, out, closed, shared_dir(spark, "checkpoint")))
     passed = spark.read.parquet(out)

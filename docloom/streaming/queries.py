@@ -6,6 +6,7 @@ checkpoint or in written batches; nothing is cached.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from docloom.operators import admission, results, status
 from docloom.sources import sinks
 
+EVENTS_PER_JOB = 32  # room for the 18 events of a job in one batch
+
 CLOSINGS = T.StructType(
     [T.StructField("job_id", T.StringType()), T.StructField("closed_at", T.LongType())]
 )
@@ -40,19 +43,40 @@ def run_jobs(
     responses: DataFrame,
     out: str,
     checkpoint: str,
+    events_out: str | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Queued jobs to result records, a micro-batch at a time.
 
     ``converted(file_key, doc_id, text, tables, confidence)`` and ``responses`` are static tables.
-    A message whose object is missing gives no result; see :func:`admission.attach_files`.
+    With ``events_out``, also the status events (E2): 18 for each job with a result, start and
+    failure for each job whose object is missing (S6). They are made from the stored results, so
+    nothing is computed twice; a job's time is that of its batch. ``seq`` rises over batches, and
+    the events feed :func:`follow_changes`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        named = admission.default_names(batch)
+        began = time.time()
         # A job queued twice in one batch is done once.
-        jobs = named.dropDuplicates(["job_id"]).join(converted, "file_key")
-        sinks.save_batch(results.build(jobs, responses), out, batch_id)
+        jobs = admission.default_names(batch).dropDuplicates(["job_id"])
+        found = jobs.join(converted, "file_key")
+        sinks.save_batch(results.build(found, responses), out, batch_id)
+        if events_out is None:
+            return
+        stored = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
+        spent = F.lit(int((time.time() - began) * 1000))
+        start = {"started_at": F.lit(began)}
+        done = results.emit_events(stored.withColumns({"elapsed_ms": spent, **start}))
+        objects = converted.select("file_key").distinct()
+        missing = admission.attach_files(jobs, objects).filter(F.col("error").isNotNull())
+        events = done.unionByName(results.emit_failures(missing.withColumns(start)))
+        numbered = events.withColumns(
+            {
+                "seq": F.lit(batch_id * EVENTS_PER_JOB).cast("bigint") + F.col("seq"),
+                "ts": F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")),
+            }
+        )
+        sinks.save_batch(numbered, events_out, batch_id)
 
     return _start(messages, write, checkpoint, once)
 
