@@ -21,6 +21,11 @@ STORE_DONE = ("ok", "tersimpan")
 JSON_BLANKS = " \t\n\r"
 
 
+def step_default(label: str) -> tuple[str, str]:
+    """What the overview shows for a step that nothing was said about."""
+    return STORE_DONE if label == S.STEP_STORE else STEP_SKIPPED
+
+
 def is_terminal(status: Column) -> Column:
     return status.isin(*S.TERMINAL)
 
@@ -265,7 +270,7 @@ def step_matrix(events: DataFrame) -> DataFrame:
     )
 
     def cell(i: int, label: str) -> Column:
-        status, detail = STORE_DONE if label == S.STEP_STORE else STEP_SKIPPED
+        status, detail = step_default(label)
         found = F.col(f"s{i}")
         return F.struct(
             F.lit(i + 1).alias("label_no"),

@@ -396,6 +396,20 @@ def step_ledger(spark, sf_dir):
     return results.ledger_rows(built(spark, sf_dir), "doc_id")
 
 
+@query(
+    "step_overview",
+    P.steps(
+        _RESULT,
+        _LEDGER,
+        select="""select doc_id, entry_no // 2 as label_no, step as label, status as step_status, detail
+  from ledger where entry_no in (2, 4, 6, 8)
+union all select doc_id, 5, 'Database', 'ok', 'tersimpan' from res""",
+    ),
+)
+def step_overview(spark, sf_dir):
+    return results.step_overview(built(spark, sf_dir), "doc_id")
+
+
 @query(
     "emit_events",
     P.steps(

@@ -135,8 +135,8 @@ def status_snapshot(spark, sf_dir):
 
 @query(
     "accepted_types",
-    f"""select job_id, filename, {_EXT} in ('png', 'jpg', 'jpeg', 'bmp', 'tiff', 'tif', 'webp', 'pdf', 'docx', 'doc',
-  'xlsx', 'xls') as is_accepted from uploads""",
+    f"""select job_id, filename, coalesce({_EXT} in ('png', 'jpg', 'jpeg', 'bmp', 'tiff', 'tif', 'webp', 'pdf', 'docx', 'doc',
+  'xlsx', 'xls'), false) as is_accepted from uploads""",
 )
 def accepted_types(spark, sf_dir):
     named = view(spark, sf_dir, "uploads").select("job_id", "filename")
@@ -148,7 +148,7 @@ _IMAGE = f"{_EXT} in ('png', 'jpg', 'jpeg', 'bmp', 'tiff', 'tif', 'webp')"
 
 @query(
     "file_kind",
-    f"""select job_id, filename, {_EXT} as extension, {_IMAGE} as is_image,
+    f"""select job_id, filename, {_EXT} as extension, coalesce({_IMAGE}, false) as is_image,
   case when {_EXT} = 'pdf' then 'pdf' when {_EXT} in ('xlsx', 'xls') then 'sheet'
     when {_EXT} in ('docx', 'doc') then 'word' when {_IMAGE} then 'image' else 'other' end as kind from uploads""",
 )

@@ -155,3 +155,20 @@ def test_choice_is_made_before_pruning(spark):
         (False, 0, '{"Name":"rule"}'),
         (False, 0, '{"Name":"rule"}'),
     ]
+
+
+def test_chat_client(monkeypatch):
+    import io
+    import urllib.request
+
+    from docloom.sources.models import chat_client
+
+    seen = {}
+
+    def urlopen(post, timeout):
+        seen.update(url=post.full_url, body=post.data, timeout=timeout)
+        return io.BytesIO('{"message": {"content": " {\\"a\\": \\"é\\"} "}}'.encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", urlopen)
+    assert chat_client("http://model:1", timeout=5)()('{"x": "é"}') == ' {"a": "é"} '
+    assert seen == {"url": "http://model:1/api/chat", "body": '{"x": "é"}'.encode(), "timeout": 5}
