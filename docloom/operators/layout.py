@@ -28,7 +28,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     slots = df.sparkSession.sparkContext.defaultParallelism
     if scan_bytes(df) >= slots * _split_bytes(df):
         return df
-    return df.repartition(slots, *keys)
+    return df.repartition(2 * slots, *keys)
 
 
 def explode_rows(df: DataFrame, keys: list[str], array: str | Column, number: str, item: str) -> DataFrame:

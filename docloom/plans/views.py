@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from docloom.operators.layout import spread
 
@@ -193,9 +194,19 @@ SPREAD = {
 }
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its footer is read for the schema once per process."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, for_view: str | None = None) -> DataFrame:
     """A given table; spread over the task slots where ``for_view`` works hard on each row."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = _read(spark, f"{sf_dir}/{name}.parquet")
     return spread(df, *KEYS[name]) if name in SPREAD.get(for_view or "", ()) else df
 
 
