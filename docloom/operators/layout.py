@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MIN_BYTES = 16 * 1024  # no task is worth starting for less
+
+
 def scan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of ``df``; for a plain file scan, the file bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -25,10 +28,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spreading. A table with at least one full split per slot is left as it is: at scale nothing
     is shuffled here. ``keys`` should be unique; a hash needs no sort to be repeatable.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if scan_bytes(df) >= slots * _split_bytes(df):
+    slots, size = df.sparkSession.sparkContext.defaultParallelism, scan_bytes(df)
+    parts = min(2 * slots, size // MIN_BYTES)
+    if parts < 2 or size >= slots * _split_bytes(df):
         return df
-    return df.repartition(2 * slots, *keys)
+    return df.repartition(parts, *keys)
 
 
 def explode_rows(df: DataFrame, keys: list[str], array: str | Column, number: str, item: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import grids, model, quality
+from docloom.functions.times import epoch_micros
 from docloom.operators import enrichment, extraction, results, tables
 from docloom.operators.layout import explode_rows
 from docloom.plans import sql_parts as P
@@ -424,10 +425,11 @@ union all select job_id, 17, 'completed', null, null, null, cast(raw_chars * 3 a
     ),
 )
 def emit_events(spark, sf_dir):
-    finished = built(spark, sf_dir).withColumns(
+    records = built(spark, sf_dir)
+    finished = records.withColumns(
         {
             "elapsed_ms": (F.col("raw_chars") * 3).cast("int"),
-            "started_at": F.unix_timestamp(F.col("created_at").cast("timestamp")),
+            "started_at": epoch_micros(records, "created_at") / 1_000_000,
         }
     )
     return results.emit_events(finished).drop("elapsed_s", "error")

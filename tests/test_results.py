@@ -168,9 +168,11 @@ def test_explode_rows_computes_its_input_once(spark):
 
 def test_spread_leaves_large_inputs_alone(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(10_000).write.parquet(path)
+    spark.range(1_000_000).write.parquet(path)
     df = spark.read.parquet(path)
     assert "Exchange" in plan_of(layout.spread(df, "id"))
+    tiny = spark.range(10)
+    assert "Exchange" not in plan_of(layout.spread(tiny, "id"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1KB")
     try:
         assert "Exchange" not in plan_of(layout.spread(df, "id"))
