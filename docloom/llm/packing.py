@@ -12,6 +12,7 @@ is packed by itself. Other columns of the input are not read. An empty table giv
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ MAX_LENGTH = 2048
 END_ID = 1
 #: A longer text is tokenized in parts, cut at white space, where tokens never cross.
 PART_CHARS = 1 << 20
-#: Words whose ids a task remembers.
+#: Words whose ids a worker remembers.
 CACHE_WORDS = 400_000
 DOCS_AT_ONCE = 256
 #: Stands between words that are tokenized in one call. On its own it is one token.
@@ -61,9 +62,12 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(128, 256)) if c.isalpha()]
+        self.letters = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
         (self.mark_id,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
 
@@ -79,11 +83,46 @@ class WordTokens:
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known = {"": b""}
-        new = [w for w in words if w not in self.known]
-        for w in [w for w in new if MARK in w]:
+        known = self.known
+        rest, tailed = [], []
+        for w in words:
+            if w in known:
+                continue
+            stem = w[:-1] if w[-1] in ",." else w
+            plain = self.plain(stem)
+            if plain is None:
+                rest.append(w)
+                continue
+            if stem not in known:
+                known[stem] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], "<u4").tobytes()
+            if stem != w:  # a mark after such a word is a token of its own
+                tailed.append(w)
+        self.learn_others(rest)
+        if tailed:
+            self.learn_others([m for m in ",." if m not in known])
+            for w in tailed:
+                known[w] = known[w[:-1]] + known[w[-1]]
+
+    def plain(self, word: str) -> str | None:
+        """A word of lower-case Latin-1 letters as the tokenizer's model reads it; else None.
+
+        Normalizing and splitting leave such a word as it is, so the model can be asked directly.
+        """
+        if not (word.isalpha() and word.islower()):
+            return None
+        if word.isascii():
+            return word
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return word.translate(self.letters)
+
+    def learn_others(self, words: list[str]) -> None:
+        for w in [w for w in words if MARK in w]:
             ids = self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids
             self.known[w] = np.array(ids, "<u4").tobytes()
-        new = [w for w in new if MARK not in w]
+        new = [w for w in words if MARK not in w]
         for k in range(0, len(new), 1000):
             some = new[k : k + 1000]
             joined = f" {MARK} ".join(some)
@@ -113,6 +152,12 @@ class WordTokens:
             yield b"".join([known[w] for w in words])
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker process."""
+    return WordTokens(path)
+
+
 def binary_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     """Lengths of the pieces of ``n`` tokens, in order."""
     full, rest = divmod(n, max_length)
@@ -153,7 +198,7 @@ def decompose(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(k, DOCS_AT_ONCE)
