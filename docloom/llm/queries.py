@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 from docloom.llm import (  # noqa: E402,F401  each module adds its queries
     decontamination_query,
     language_query,
+    license_query,
     packing_query,
     quality_query,
     url_query,

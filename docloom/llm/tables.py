@@ -27,8 +27,10 @@ def learnable(doc_id: str | Column) -> Column:
 
 
 def ascii_lower(text: str | Column) -> Column:
-    """A-Z to a-z, all other characters unchanged."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z to a-z, all other characters unchanged. ASCII text takes the faster way."""
+    text = F.col(text) if isinstance(text, str) else text
+    kept = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(kept)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
