@@ -30,5 +30,6 @@ from docloom.llm import (  # noqa: E402,F401  each module adds its queries
     license_query,
     packing_query,
     quality_query,
+    toxicity_query,
     url_query,
 )
