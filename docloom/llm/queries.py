@@ -31,6 +31,7 @@ from docloom.llm import (  # noqa: E402,F401  each module adds its queries
     language_query,
     license_query,
     packing_query,
+    preference_query,
     quality_query,
     toxicity_query,
     url_query,
