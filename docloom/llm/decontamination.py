@@ -17,6 +17,7 @@ rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, field
@@ -271,18 +272,19 @@ def decontaminate(
     become neighbours. Rows without a hit keep their text to the letter.
     """
     columns = docs.columns
-    marked = docs
+    cut = F.pandas_udf(_cut, T.StringType())
+    share = F.col("_found.n_hit") / F.greatest(F.col("_found.n_words"), F.lit(1))
+    long = F.filter("_found.spans", lambda s: s[1] - s[0] >= min_words)
+    rest, done = docs, []
     while True:
-        marked = find(marked, benchmark, text_column, window=window, slice_words=slice_words, found="_found", **names)
-        long = F.filter("_found.spans", lambda s: s[1] - s[0] >= min_words)
-        marked = marked.withColumn("_long", long)
-        share = F.col("_found.n_hit") / F.greatest(F.col("_found.n_words"), F.lit(1))
-        marked = stored(marked.filter(share <= max_coverage), "decontaminated")
-        if marked.filter(F.size("_long") > 0).limit(1).count() == 0:
-            return marked.select(*columns)
-        cut = F.pandas_udf(lambda texts, spans: _cut(texts, spans), T.StringType())
-        text = F.when(F.size("_long") > 0, cut(F.col(text_column), F.col("_long"))).otherwise(F.col(text_column))
-        marked = marked.withColumn(text_column, text).select(*columns)
+        marked = find(rest, benchmark, text_column, window=window, slice_words=slice_words, found="_found", **names)
+        marked = stored(marked.filter(share <= max_coverage).withColumn("_long", long), "decontaminated")
+        done.append(marked.filter(F.size("_long") == 0).select(*columns))
+        dirty = marked.filter(F.size("_long") > 0)
+        if dirty.limit(1).count() == 0:
+            return functools.reduce(DataFrame.unionAll, done)
+        # only what was cut is looked at again
+        rest = dirty.withColumn(text_column, cut(F.col(text_column), F.col("_long"))).select(*columns)
 
 
 def _cut(texts, spans):
