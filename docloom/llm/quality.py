@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-:func:`base_counts` measures texts. A :class:`Rule` is a name and a Boolean column that is true for
+:func:`base_counts` measures texts. A :class:`Rule` is a name and an SQL condition that is true for
 text to reject. :func:`estimate_rules` runs each rule over a sample, where it learns what share the
 rule rejects and how long it takes; :func:`order_rules` puts the rules in order of rejection per
 cost, and :func:`cascade` asks them in that order and stops at the first that rejects. The order decides only how much work is done
@@ -93,25 +93,26 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 @dataclass(frozen=True)
 class Rule:
-    name: str
-    rejects: Column
+    """A name, and an SQL condition over the columns of a table that is true for rows to reject."""
 
+    name: str
+    condition: str
 
-def _stutters() -> Column:
-    """Words equal to the word before."""
-    return F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get("words", F.greatest(i - 1, F.lit(0))))))
+    @property
+    def rejects(self) -> Column:
+        return F.expr(self.condition)
 
 
 #: Rules over what :func:`base_counts` gives. Their shares leave room above what prose shows: it has
 #: next to no such symbols, repeats a third of its lines at most, and hardly ever a word at once.
 #: What only one rule needs is worked out inside it, so a row rejected before never pays for it.
 RULES = (
-    Rule("few_words", F.col("n_words") < 10),
-    Rule("repeated_words", F.col("n_repeat_words") * 100 > F.col("n_words") * 20),
-    Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words") * 3),
-    Rule("repeated_lines", F.col("n_dup_lines") * 2 > F.size("lines")),
-    Rule("stutter", _stutters() * 5 > F.col("n_words")),
-    Rule("capitals", F.length(F.regexp_replace("text", "[^A-Z]+", "")) * 2 > F.col("word_chars")),
+    Rule("few_words", "n_words < 10"),
+    Rule("repeated_words", "n_repeat_words * 100 > n_words * 20"),
+    Rule("symbols", "n_symbols * 10 > n_words * 3"),
+    Rule("repeated_lines", "n_dup_lines * 2 > size(lines)"),
+    Rule("stutter", "size(filter(words, (w, i) -> i > 0 and w = get(words, greatest(i - 1, 0)))) * 5 > n_words"),
+    Rule("capitals", "length(regexp_replace(text, '[^A-Z]+', '')) * 2 > word_chars"),
 )
 BASE = ("few_words", "repeated_words")
 
