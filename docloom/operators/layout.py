@@ -1,4 +1,4 @@
-"""Row layout: spreading small inputs, and exploding without computing the input twice."""
+"""Row layout: spreading rows on request, and exploding without computing the input twice."""
 
 from __future__ import annotations
 
@@ -6,33 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-MIN_BYTES = 16 * 1024  # no task is worth starting for less
+def spread(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """Hash rows over ``partitions`` tasks by unique ``keys``; without a number, ``df`` as it is.
 
-
-def scan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df``; for a plain file scan, the file bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _split_bytes(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    digits = text.rstrip("bkmg")
-    return int(digits) * units.get(text[len(digits) :], 1)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all task slots if ``df`` is too small to fill them by its own splits.
-
-    Cleaning costs far more than moving a text, so a table in a few large row groups is worth
-    spreading. A table with at least one full split per slot is left as it is: at scale nothing
-    is shuffled here. ``keys`` should be unique; a hash needs no sort to be repeatable.
+    For tables in fewer files or row groups than there are task slots. A hash needs no sort to be
+    repeatable.
     """
-    slots, size = df.sparkSession.sparkContext.defaultParallelism, scan_bytes(df)
-    parts = min(2 * slots, size // MIN_BYTES)
-    if parts < 2 or size >= slots * _split_bytes(df):
-        return df
-    return df.repartition(parts, *keys)
+    return df if partitions is None else df.repartition(partitions, *keys)
 
 
 def explode_rows(df: DataFrame, keys: list[str], array: str | Column, number: str, item: str) -> DataFrame:

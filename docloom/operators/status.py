@@ -39,8 +39,9 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     """JSON messages to event columns; malformed messages are dropped.
 
     The message is parsed inside a wrapper whose last member must be reached. Without it the
-    reader would accept text after a complete object. A field of the wrong type becomes null and
-    the message stays.
+    reader would accept text after a complete object. The wrapper must hold the two members it was
+    given and no more, so a message cannot bring members of its own. A field of the wrong type
+    becomes null and the message stays.
     """
     body = F.btrim(F.col(column), F.lit(JSON_BLANKS))
     wrapped = F.concat(F.lit('{"message":'), body, F.lit(',"message_ends":true}'))
@@ -50,18 +51,23 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
         {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
     )
     others = [c for c in raw.columns if c != column]
+    # only a message that goes on behind a brace can have more than one member
+    whole = ~F.rlike(body, F.lit(r"\}\s*,")) | (F.size(F.json_object_keys(wrapped)) == 2)
     # A cheap look at both ends spares the parser most damaged messages. The parsed message comes
     # out of a generator, since a filter on a computed column would compute it once more.
     return (
-        raw.filter(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")))
+        raw.filter(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & whole)
         .select(*others, F.inline(F.array(parsed)))
         .filter(F.col("message_ends") & F.col("message").isNotNull())
         .select(*others, "message.*")
     )
 
 
-def current_state(events: DataFrame) -> DataFrame:
-    """Latest status, last non-empty step and last error per job. Batch or streaming."""
+def current_state(events: DataFrame, counted: bool = False) -> DataFrame:
+    """Latest status, last non-empty step and last error per job. Batch or streaming.
+
+    ``counted`` adds ``n_events``, by which states of the same job can be told old from new.
+    """
     seq, status = F.col("seq"), F.col("status")
     step = _filled(F.col("step"))
     error = F.coalesce(_filled(F.col("error")), F.lit(DEFAULT_ERROR))
@@ -70,6 +76,7 @@ def current_state(events: DataFrame) -> DataFrame:
         F.max_by(step, F.when(step.isNotNull(), seq)).alias("step"),
         F.max_by(error, F.when(status == S.FAILED, seq)).alias("error"),
         F.max(seq).alias("last_seq"),
+        *([F.count(F.lit(1)).alias("n_events")] if counted else []),
     )
 
 

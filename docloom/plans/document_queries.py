@@ -227,10 +227,12 @@ def quality_score(spark, sf_dir):
 
 @query(
     "quality_gate",
-    "select doc_id, coalesce(confidence, 1.0) * 100 >= 95.0 as passes from conf",
+    """select doc_id, not isnan(c) and c * 100 >= 95.0 as passes
+from (select doc_id, coalesce(try_cast(confidence as double), 1.0) as c from conf_text) t""",
 )
 def quality_gate(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "passes")
+    confidence = quality.confidence_or_default(F.col("confidence"))
+    return view(spark, sf_dir, "conf_text").select("doc_id", quality.passes_gate(confidence).alias("passes"))
 
 
 @query(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
 from docloom.operators import admission, status
-from docloom.operators.layout import spread
 from docloom.plans import document_queries as docs
 from docloom.plans import sql_parts as P
 from docloom.plans.registry import query
@@ -19,7 +16,7 @@ from docloom.sources import files as file_source
 from docloom.sources import sinks
 from docloom.streaming import queries as streams
 
-BATCHES = 4  # micro-batches that a landed input is read in
+BYTES_PER_TRIGGER = 64 << 20  # what a micro-batch of a landed input takes in
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -27,15 +24,14 @@ def _events(spark, sf_dir) -> DataFrame:
 
 
 def _landed(spark, rows: DataFrame, purpose: str) -> DataFrame:
-    """``rows`` written to a landing folder and opened as a stream of a few micro-batches.
-
-    Large inputs keep their partitions; small ones are split so that there is a file per batch.
-    """
+    """``rows`` written to a landing folder and opened as a stream."""
     path = shared_dir(spark, purpose)
-    sinks.append(spread(rows, rows.columns[0]), path)
-    n_files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
-    per_batch = max(1, math.ceil(n_files / BATCHES))
-    return file_source.event_stream(spark, path, files_per_trigger=per_batch, schema=rows.schema)
+    sinks.append(rows, path)
+    return _opened(spark, path, rows)
+
+
+def _opened(spark, path: str, rows: DataFrame) -> DataFrame:
+    return file_source.event_stream(spark, path, schema=rows.schema, bytes_per_trigger=BYTES_PER_TRIGGER)
 
 
 def _stored(spark, rows: DataFrame, purpose: str) -> DataFrame:
@@ -262,7 +258,7 @@ def stream_jobs(spark, sf_dir):
     static, answers = _stored(spark, held, "converted"), _stored(spark, view(spark, sf_dir, "llm"), "answers")
     checkpoint = shared_dir(spark, "checkpoint")
     _finish(streams.run_jobs(landed, static, answers, out, checkpoint, events_out))
-    events = spark.read.parquet(events_out).drop("batch_id")
+    events = streams.ordered(spark.read.parquet(events_out))
     queued = registered.withColumns(
         {
             "status": F.lit(S.QUEUED),
@@ -290,8 +286,7 @@ def stream_current(spark, sf_dir):
     landed = _landed(spark, _events(spark, sf_dir), "events")
     out = shared_dir(spark, "states")
     _finish(streams.follow_state(landed, out, shared_dir(spark, "checkpoint")))
-    states = spark.read.parquet(out)
-    return sinks.latest_per_job(states).drop("batch_id")
+    return sinks.latest_states(spark.read.parquet(out)).drop("n_events")
 
 
 @query("stream_terminal_cut", _CUT_SQL)
@@ -300,7 +295,7 @@ def stream_terminal_cut(spark, sf_dir):
     out, closed = shared_dir(spark, "passed"), shared_dir(spark, "closed")
     _finish(streams.follow_until_closed(landed, out, closed, shared_dir(spark, "checkpoint")))
     passed = spark.read.parquet(out)
-    closings = sinks.read_batches(spark, closed, streams.CLOSINGS)
+    closings = streams.read_closings(spark, closed)
     return streams.read_until_closed(passed, closings).select(*_EVENT_COLUMNS)
 
 
@@ -311,5 +306,32 @@ def replay_idempotent(spark, sf_dir):
     out = shared_dir(spark, "changes")
     for _ in range(2):
         _finish(streams.follow_changes(landed, out, shared_dir(spark, "checkpoint")))
-    changes = status.merge_changes(spark.read.parquet(out).drop("batch_id"))
+    changes = status.merge_changes(spark.read.parquet(out).drop("generation", "batch_id"))
     return status.apply_changes(view(spark, sf_dir, "event_jobs"), changes)
+
+
+@query(
+    "replay_rebatched",
+    P.steps(
+        _CUT,
+        select=f"""select 'state' as kind, job_id, last_seq as seq, status, step, error from ({_CURRENT}) s
+union all select 'passed', job_id, seq, status, step, error from cut""",
+    ),
+)
+def replay_rebatched(spark, sf_dir):
+    """States and passed events after half the events were followed, the checkpoints lost, the rest
+    landed, and all read again in other batches."""
+    events = _events(spark, sf_dir)
+    path = shared_dir(spark, "events")
+    states, passed, closed = (shared_dir(spark, p) for p in ("states", "passed", "closed"))
+    middle = events.agg(F.max("seq")).first()[0] // 2
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        sinks.append(events.filter(part), path)
+        for start, outs in ((streams.follow_state, (states,)), (streams.follow_until_closed, (passed, closed))):
+            _finish(start(_opened(spark, path, events), *outs, shared_dir(spark, "checkpoint")))
+    columns = ("job_id", "seq", "status", "step", "error")
+    known = sinks.latest_states(spark.read.parquet(states)).withColumnRenamed("last_seq", "seq")
+    cut = streams.read_until_closed(spark.read.parquet(passed), streams.read_closings(spark, closed))
+    return known.select(F.lit("state").alias("kind"), *columns).unionByName(
+        cut.select(F.lit("passed").alias("kind"), *columns)
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import files
 from docloom.operators import admission, jobs
 from docloom.plans.registry import query
-from docloom.plans.views import view
+from docloom.plans.views import table, view
 from docloom.session import shared_dir
 from docloom.sources import files as file_source
 from docloom.sources import sinks
@@ -15,23 +15,30 @@ from docloom.sources import sinks
 _ADMITTED = "filename is not null and file_size <= 20971520"
 _QUEUED = f"""select cast(job_id as string) as job_id, filename,
   concat('uploads/', cast(job_id as string), '/', filename) as file_key from uploads where {_ADMITTED}"""
+# Fixed values below: lists of types and labels, as the functions have them.
 _EXT = "lower(split_part(filename, '.', -1))"
 
 
-@query("doc_scan")
+@query(
+    "doc_scan",
+    """select page_id, octet_length(encode(html)) + 1 as file_size, cast(null as varchar) as reject_reason,
+  sha256(html || chr(10)) as digest from pages""",
+)
 def doc_scan(spark, sf_dir):
-    """The table files themselves as stored documents: digests of the admissible ones."""
-    listed = file_source.list_files(spark, sf_dir, "*.parquet")
-    refused = listed.filter(F.col("file_size") > files.MAX_BYTES)
-    read = file_source.read_documents(spark, sf_dir, "*.parquet").select(
-        "filename",
+    """Every page as a stored file, listed, and those within the limit read: sizes and digests."""
+    path = shared_dir(spark, "page-files")
+    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    page = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id")
+    refused = file_source.list_files(spark, path).filter(F.col("file_size") > files.MAX_BYTES)
+    read = file_source.read_documents(spark, path).select(
+        page,
         "file_size",
         F.lit(None).cast("string").alias("reject_reason"),
         F.sha2("content", 256).alias("digest"),
     )
     return read.unionByName(
         refused.select(
-            "filename",
+            page,
             "file_size",
             F.lit(files.TOO_LARGE).alias("reject_reason"),
             F.lit(None).cast("string").alias("digest"),
@@ -53,7 +60,7 @@ def admit(spark, sf_dir):
 @query(
     "register_jobs",
     f"""select job_id, filename, file_size, concat('uploads/', cast(job_id as string), '/', filename) as file_key,
-  'queued' as status from uploads where {_ADMITTED}""",
+  'queued' as status, concat('/ws/jobs/', cast(job_id as string)) as ws_url from uploads where {_ADMITTED}""",
 )
 def register_jobs(spark, sf_dir):
     return admission.register(view(spark, sf_dir, "uploads"))

@@ -15,6 +15,7 @@ BLANKS = (
     )
     + ")"
 )
+# The patterns of the functions, in this engine's notation.
 CONTROL = r"'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]'"
 BREAK = r"'\r\n|[\n\r\x{85}\x{2028}\x{2029}]'"
 RULE = "'^[-=_*|#]{3,}$'"

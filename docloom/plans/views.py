@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from docloom.operators.layout import spread
 
@@ -93,7 +92,8 @@ from {events}""",
 select event_id, case event_id % 13
     when 0 then substring(body, 1, length(body) - 1) when 1 then concat(body, ' tail')
     when 2 then concat(body, '}}') when 3 then concat('[', body, ']') when 4 then ''
-    when 5 then concat(' ', body, ' ') else body end as value
+    when 5 then concat(' ', body, ' ') when 6 then concat('{{"job_id": "a"}},"message":', body)
+    when 7 then concat(body, ',"z":{{}}') else body end as value
 from (select event_id, concat('{{"job_id": "', job_id, '", "status": "', status, '"',
     case when step is null then '' else concat(', "step": "', step, '"') end,
     case when elapsed_ms is null then '' else concat(', "elapsed_ms": ', cast(elapsed_ms as string)) end,
@@ -129,7 +129,9 @@ from {orders} o left join (select l_orderkey, min(1.0 - l_tax) as confidence
   from {lineitem} group by l_orderkey) l on l.l_orderkey = o.o_orderkey""",
     # The same as text, unreadable for some orders.
     "conf_text": """
-select doc_id, case when doc_id % 17 = 0 then 'n/a' else cast(confidence as string) end as confidence
+select doc_id, case when doc_id % 17 = 0 then 'n/a' when doc_id % 19 = 0 then 'nan'
+  when doc_id % 23 = 0 then '0.9f' when doc_id % 29 = 0 then 'inf' when doc_id % 31 = 0 then '0.9d'
+  when doc_id % 37 = 0 then ' 0.97 ' else cast(confidence as string) end as confidence
 from conf""",
     # What conversion gives for each form. Joins come first and carry narrow rows only.
     "converted": f"""
@@ -194,20 +196,18 @@ SPREAD = {
 }
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; its footer is read for the schema once per process."""
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+#: A session may name a number of tasks over which tables are hashed before views that work hard on
+#: each row. Unset, nothing is shuffled for it.
+TASKS_SETTING = "spark.docloom.tasks"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, for_view: str | None = None) -> DataFrame:
-    """A given table; spread over the task slots where ``for_view`` works hard on each row."""
-    df = _read(spark, f"{sf_dir}/{name}.parquet")
-    return spread(df, *KEYS[name]) if name in SPREAD.get(for_view or "", ()) else df
+    """A given table; spread over tasks if the session asks for it and ``for_view`` is costly."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get(TASKS_SETTING, None)
+    if tasks is None or name not in SPREAD.get(for_view or "", ()):
+        return df
+    return spread(df, int(tasks), *KEYS[name])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,14 +30,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder that the cluster names.
 
     Everything a job has to find again after losing an executor (stream checkpoints, landing
-    folders, written tables) goes below ``spark.checkpoint.dir``. Only where the session does not
-    name one, as in tests on one machine, a local temporary folder takes its place.
+    folders, written tables) goes below ``spark.checkpoint.dir``. Where the session does not name
+    one, the session's warehouse takes its place. Old folders are the caller's to remove.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "docloom")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docloom"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from docloom.operators import admission, results, status
 from docloom.sources import sinks
 
-EVENTS_PER_JOB = 32  # room for the 18 events of a job in one batch
+#: Folders that closings are hashed into, so that a batch reads a part of them.
+CLOSING_FOLDERS = 64
 
 CLOSINGS = T.StructType(
     [T.StructField("job_id", T.StringType()), T.StructField("closed_at", T.LongType())]
@@ -26,15 +27,17 @@ CLOSINGS = T.StructType(
 
 def _start(
     stream: DataFrame,
-    write: Callable[[DataFrame, int], None],
+    write: Callable[[DataFrame, int, int], None],
     checkpoint: str,
     once: bool,
     mode: str = "append",
 ) -> StreamingQuery:
+    """``write`` gets each batch with its number and the generation of the checkpoint."""
+    generation = sinks.generation_of(stream.sparkSession, checkpoint)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.foreachBatch(write).start()
+    return writer.foreachBatch(lambda batch, batch_id: write(batch, batch_id, generation)).start()
 
 
 def run_jobs(
@@ -48,46 +51,67 @@ def run_jobs(
 ) -> StreamingQuery:
     """Queued jobs to result records, a micro-batch at a time.
 
-    ``converted(file_key, doc_id, text, tables, confidence)`` and ``responses`` are static tables.
-    With ``events_out``, also the status events (E2): 18 for each job with a result, start and
-    failure for each job whose object is missing (S6). They are made from the stored results, so
-    nothing is computed twice; a job's time is that of its batch. ``seq`` rises over batches, and
-    the events feed :func:`follow_changes`.
+    ``converted(file_key, doc_id, text, tables, confidence)`` and ``responses`` are static tables; a
+    batch takes from them only the rows of its own keys before anything is parsed. ``converted`` may
+    carry ``error_type`` and ``error_message``: a document that has them could not be converted, and
+    its job fails with both (R6) while all others finish. With ``events_out``, also the status events
+    (E2): 18 for each job with a result, start and failure for each job whose object is missing (S6)
+    or broken. They are made from the stored results, so nothing is computed twice. Their times are
+    those of the batch: its start, the storing of its results (on the last step), its end.
+    :func:`ordered` puts them in order over batches, for :func:`follow_changes`.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int, generation: int) -> None:
         began = time.time()
         # A job queued twice in one batch is done once.
         jobs = admission.default_names(batch).dropDuplicates(["job_id"])
-        found = jobs.join(converted, "file_key")
-        sinks.save_batch(results.build(found, responses), out, batch_id)
+        mine = converted.join(jobs.select("file_key"), "file_key", "left_semi")
+        broken = F.col("error_type").isNotNull() if "error_type" in converted.columns else F.lit(False)
+        readable = mine.filter(~broken).drop("error_type", "error_message")
+        answers = responses.join(readable.select("doc_id"), "doc_id", "left_semi")
+        records = results.build(jobs.join(readable, "file_key"), answers)
+        timed = records.withColumn("elapsed_s", F.round(F.lit(time.time() - began), 2))
+        sinks.save_batch(timed, out, batch_id, generation)
         if events_out is None:
             return
-        stored = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
-        spent = F.lit(int((time.time() - began) * 1000))
-        start = {"started_at": F.lit(began)}
-        done = results.emit_events(stored.withColumns({"elapsed_ms": spent, **start}))
-        objects = converted.select("file_key").distinct()
-        missing = admission.attach_files(jobs, objects).filter(F.col("error").isNotNull())
-        events = done.unionByName(results.emit_failures(missing.withColumns(start)))
-        numbered = events.withColumns(
-            {
-                "seq": F.lit(batch_id * EVENTS_PER_JOB).cast("bigint") + F.col("seq"),
-                "ts": F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")),
-            }
-        )
-        sinks.save_batch(numbered, events_out, batch_id)
+        stored = batch.sparkSession.read.parquet(sinks.batch_folder(out, generation, batch_id))
+        ended = time.time()
+        times = {
+            "elapsed_ms": F.lit(int((ended - began) * 1000)),
+            "started_at": F.lit(began),
+            "stored_at": F.lit(ended),
+            "ended_at": F.lit(time.time()),
+        }
+        done = results.emit_events(stored.withColumns(times))
+        lost = admission.attach_files(jobs.join(mine, "file_key", "left_anti"), mine.select("file_key").limit(0))
+        failed = lost.select("job_id", "error")
+        if "error_type" in converted.columns:
+            said = results.error_text(F.col("error_type"), F.col("error_message")).alias("error")
+            failed = failed.unionByName(jobs.join(mine.filter(broken), "file_key").select("job_id", said))
+        events = done.unionByName(results.emit_failures(failed.withColumns(times)))
+        stamped = events.withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")))
+        sinks.save_batch(stamped, events_out, batch_id, generation)
 
     return _start(messages, write, checkpoint, once)
 
 
+def ordered(events: DataFrame) -> DataFrame:
+    """Events of :func:`run_jobs` as read back, in an order over generations and batches: ``seq``
+    becomes a struct that rises in it. Of a job that several generations ran, the last one's stay."""
+    rows = sinks.latest_per_job(events)
+    return rows.withColumn("seq", F.struct("generation", "batch_id", "seq")).drop("generation", "batch_id")
+
+
 def follow_state(
     events: DataFrame, out: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """E3 as a stateful aggregation: each batch writes the jobs whose state changed."""
+    """E3 as a stateful aggregation: each batch writes the jobs whose state changed.
+
+    Read with :func:`sinks.latest_states`; :func:`sinks.compact` folds old batches into one.
+    """
     return _start(
-        status.current_state(events),
-        lambda batch, batch_id: sinks.save_batch(batch, out, batch_id),
+        status.current_state(events, counted=True),
+        lambda batch, batch_id, generation: sinks.save_batch(batch, out, batch_id, generation),
         checkpoint,
         once,
         mode="update",
@@ -104,7 +128,7 @@ def follow_changes(
     """
     return _start(
         events,
-        lambda batch, batch_id: sinks.save_batch(status.job_changes(batch), out, batch_id),
+        lambda batch, batch_id, generation: sinks.save_batch(status.job_changes(batch), out, batch_id, generation),
         checkpoint,
         once,
     )
@@ -115,28 +139,42 @@ def follow_until_closed(
 ) -> StreamingQuery:
     """E5: pass events on until their job's first terminal event.
 
-    Closings go to ``closed``, one row per job and batch; each batch looks up those of its own jobs
-    from the batches before it. They are aggregated before any shuffle, so unlike a per-job state
-    function no task takes in all events of one busy job. Batches may bring events out of order:
-    :func:`read_until_closed` applies the final closings to what was passed on.
+    Closings go to ``closed``, hashed by job into ``CLOSING_FOLDERS`` folders; each batch looks up
+    those of its own jobs, and reads only the folders that its jobs hash to. They are aggregated
+    before any shuffle, so unlike a per-job state function no task takes in all events of one busy
+    job. Batches may bring events out of order: :func:`read_until_closed` applies the final closings
+    to what was passed on.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int, generation: int) -> None:
         spark = batch.sparkSession
-        sinks.save_batch(status.closings(batch), closed, batch_id)
-        mine = batch.select("job_id").distinct()
+        own = status.closings(batch).withColumn("folder", folder)
+        sinks.save_batch_by(own, closed, batch_id, generation, "folder")
+        # at most one row a job goes on; the folders of the batch are few numbers
+        mine = batch.select("job_id", folder.alias("folder")).distinct()
+        folders = [r.folder for r in mine.select("folder").distinct().collect()]
         known = (
-            sinks.read_batches(spark, closed, CLOSINGS, before=batch_id + 1)
-            .join(mine, "job_id", "left_semi")
+            read_closings(spark, closed)
+            .filter(F.col("folder").isin(folders))
+            .join(mine.select("job_id"), "job_id", "left_semi")
             .groupBy("job_id")
             .agg(F.min("closed_at").alias("closed_at"))
         )
-        sinks.save_batch(status.cut_at(batch, known), out, batch_id)
+        sinks.save_batch(status.cut_at(batch, known), out, batch_id, generation)
 
+    folder = F.pmod(F.xxhash64("job_id"), F.lit(CLOSING_FOLDERS)).cast("int")
     return _start(events, write, checkpoint, once)
 
 
+def read_closings(spark: SparkSession, closed: str) -> DataFrame:
+    """All closings so far, by job hash, generation and batch."""
+    places = [T.StructField(n, k) for n, k in (("generation", T.LongType()), ("batch_id", T.LongType()), ("folder", T.IntegerType()))]
+    schema = T.StructType([*CLOSINGS.fields, *places])
+    return spark.read.schema(schema).option("basePath", closed).parquet(closed)
+
+
 def read_until_closed(passed: DataFrame, closings: DataFrame) -> DataFrame:
-    """E5: what :func:`follow_until_closed` passed on, cut at the closings known by now."""
+    """E5: what :func:`follow_until_closed` passed on, once each, cut at the closings known by now."""
     final = closings.groupBy("job_id").agg(F.min("closed_at").alias("closed_at"))
-    return status.cut_at(passed.drop("batch_id"), final)
+    once = passed.drop("generation", "batch_id").dropDuplicates(["job_id", "seq"])
+    return status.cut_at(once, final)

@@ -134,6 +134,23 @@ def test_results_by_day(spark, tmp_path):
     assert back.count() == 3 and str(back.first().period) == "2024-02-03"
 
 
+def test_results_of_other_days_and_batches_stay(spark, tmp_path):
+    """A write replaces the days of its own batch and nothing else; a batch run again is one batch."""
+    path = str(tmp_path / "out")
+
+    def rows(*days):
+        return spark.createDataFrame([(d, f"2024-01-0{d} 10:00:00") for d in days], "n int, at string").select(
+            "n", F.col("at").cast("timestamp").alias("at")
+        )
+
+    sinks.save_by_date(rows(1), path, "at")
+    sinks.save_by_date(rows(2), path, "at", batch_id=1)
+    sinks.save_by_date(rows(2), path, "at", batch_id=2)
+    sinks.save_by_date(rows(2), path, "at", batch_id=2)
+    back = spark.read.parquet(path)
+    assert sorted((r.n, r.batch_id) for r in back.collect()) == [(1, 0), (2, 1), (2, 2)]
+
+
 def test_grids(spark):
     long = [[str(i), "x"] for i in range(12)]
     df = spark.createDataFrame(
@@ -166,15 +183,7 @@ def test_explode_rows_computes_its_input_once(spark):
     assert plan_of(df).count("split(") == 1
 
 
-def test_spread_leaves_large_inputs_alone(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(1_000_000).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert "Exchange" in plan_of(layout.spread(df, "id"))
-    tiny = spark.range(10)
-    assert "Exchange" not in plan_of(layout.spread(tiny, "id"))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1KB")
-    try:
-        assert "Exchange" not in plan_of(layout.spread(df, "id"))
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+def test_spread_only_on_request(spark):
+    df = spark.range(1_000)
+    assert "Exchange" not in plan_of(layout.spread(df, None, "id"))
+    assert layout.spread(df, 3, "id").rdd.getNumPartitions() == 3

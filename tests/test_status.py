@@ -274,14 +274,30 @@ def test_stream_state_equals_batch(spark, events, tmp_path):
     run(streams.follow_state(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
     written = spark.read.parquet(str(tmp_path / "out"))
     assert written.select("batch_id").distinct().count() > 1
-    assert states(sinks.latest_per_job(written)) == slow_states()
+    assert states(sinks.latest_states(written)) == slow_states()
+    sinks.compact(spark, str(tmp_path / "out"), str(tmp_path / "compacted"))
+    assert states(sinks.latest_states(spark.read.parquet(str(tmp_path / "compacted")))) == slow_states()
+
+
+def test_states_and_cut_survive_a_lost_checkpoint(spark, events, tmp_path):
+    """Three batches, then the checkpoint is lost, one more event lands, and all is one batch."""
+    path, out, passed, closed = (str(tmp_path / n) for n in ("in", "out", "passed", "closed"))
+    first = events.filter("seq < 900")
+    for n, stream in enumerate((landed(spark, first, path), landed(spark, events.filter("seq >= 900"), path))):
+        if n:
+            stream = files.event_stream(spark, path, schema=events.schema)
+        run(streams.follow_state(stream, out, str(tmp_path / f"cp-a{n}")))
+        run(streams.follow_until_closed(stream, passed, closed, str(tmp_path / f"cp-b{n}")))
+    assert states(sinks.latest_states(spark.read.parquet(out))) == slow_states()
+    got = streams.read_until_closed(spark.read.parquet(passed), streams.read_closings(spark, closed))
+    assert sorted((r.job_id, r.seq) for r in got.collect()) == sorted(slow_cut())
 
 
 def test_stream_cut_equals_batch(spark, events, tmp_path):
     stream = landed(spark, events, str(tmp_path / "in"))
     out, closed = str(tmp_path / "out"), str(tmp_path / "closed")
     run(streams.follow_until_closed(stream, out, closed, str(tmp_path / "cp")))
-    closings = sinks.read_batches(spark, closed, streams.CLOSINGS)
+    closings = streams.read_closings(spark, closed)
     got = streams.read_until_closed(spark.read.parquet(out), closings)
     assert {(r.job_id, r.seq) for r in got.collect()} == slow_cut()
     assert got.count() == len(slow_cut())
@@ -294,7 +310,7 @@ def test_stream_goes_on_after_a_restart(spark, events, tmp_path):
         run(streams.follow_changes(landed(spark, half, path), out, cp))
     changes = spark.read.parquet(out)
     assert changes.select(F.max("batch_id")).first()[0] == 9
-    merged = status.merge_changes(changes.drop("batch_id"))
+    merged = status.merge_changes(changes.drop("generation", "batch_id"))
     assert as_tuples(status.apply_changes(job_rows(spark), merged)) == want_rows()
 
 
@@ -303,7 +319,7 @@ def test_replay_changes_nothing(spark, events, tmp_path):
     out = str(tmp_path / "out")
     for attempt in range(2):
         run(streams.follow_changes(stream, out, str(tmp_path / f"cp{attempt}")))
-    merged = status.merge_changes(spark.read.parquet(out).drop("batch_id"))
+    merged = status.merge_changes(spark.read.parquet(out).drop("generation", "batch_id"))
     assert as_tuples(status.apply_changes(job_rows(spark), merged)) == want_rows()
 
 
