@@ -1,0 +1,58 @@
+import random
+import re
+from collections import Counter
+
+from docloom.llm import quality as Q
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    seen, hit = Counter(grams), set()
+    for i, g in enumerate(grams):
+        if seen[g] > 1:
+            hit.update(range(i, i + 5))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(text.count(c) for c in Q.SYMBOLS),
+        len(lines) - len(set(lines)),
+        len(hit),
+    )
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_counts_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab é#|\n\t\x0b 😀 ") for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    texts += [None, "", " \n ", "a b c d e a b c d e", "x\n\nx\ny\nx", "w " * 20000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as words")
+    got = {r.doc_id: tuple(r[c] for c in COUNTS) for r in Q.base_counts(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_order_changes_no_verdict(spark):
+    texts = ["a b c d e f g h i j k", "### " * 20, "AA BB CC DD EE FF GG HH II JJ KK", "x x y y z z w w v v u u", "short", None]
+    counted = Q.base_counts(spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string"))
+    kept = []
+    for rules in (Q.RULES, Q.RULES[::-1], Q.order_rules(Q.estimate_rules(counted))):
+        rows = Q.cascade(counted, list(rules)).collect()
+        kept.append(sorted(r.doc_id for r in rows if r.rejected_by is None))
+    assert kept == [[0, 0]] * 3
+    assert Q.cascade(counted, []).filter("rejected_by is null").count() == 12
+
+
+def test_rules_that_reject_more_for_less_come_first():
+    rules = [Q.Rule(n, "true") for n in "abc"]
+    made = [Q.Estimate(rules[0], 0.1, 1.0), Q.Estimate(rules[1], 0.1, 0.1), Q.Estimate(rules[2], 0.5, 1.0)]
+    assert [r.name for r in Q.order_rules(made)] == ["b", "c", "a"]
+
+
+def test_empty_table(spark):
+    none = Q.base_counts(spark.createDataFrame([], "doc_id long, text string"))
+    assert [r.name for r in Q.order_rules(Q.estimate_rules(none))] == [r.name for r in Q.RULES]
+    assert Q.cascade(none, Q.RULES).count() == 0 and Q.sample_of(none).count() == 0
