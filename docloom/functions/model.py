@@ -30,17 +30,17 @@ SOURCE_MODEL = "Qwen AI"
 SOURCE_RULES = "Regex"
 
 
-def truncate(text: Column) -> Column:
+def truncate(text: Column, max_chars: int = MAX_CHARS) -> Column:
     """L1: what the model sees. Only the request is cut; extraction by rule reads whole texts."""
-    cut = F.length(text) > MAX_CHARS
+    cut = F.length(text) > max_chars
     return F.concat(
-        F.substring(text, 1, MAX_CHARS), F.when(cut, TRUNCATED_MARK).otherwise("")
+        F.substring(text, 1, max_chars), F.when(cut, TRUNCATED_MARK).otherwise("")
     )
 
 
-def prompt(cleaned: Column) -> Column:
+def prompt(cleaned: Column, max_chars: int = MAX_CHARS) -> Column:
     """L2: user prompt for a cleaned text."""
-    return F.concat(F.lit(USER_PROMPT), truncate(cleaned))
+    return F.concat(F.lit(USER_PROMPT), truncate(cleaned, max_chars))
 
 
 def request(prompt_text: Column, model: str = MODEL) -> Column:

@@ -62,18 +62,18 @@ def result_of_all(jobs: DataFrame, requested: DataFrame) -> DataFrame:
     )
 
 
-def recent(jobs: DataFrame) -> DataFrame:
+def recent(jobs: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
     """Q3: newest jobs first; the job id settles equal times."""
     return (
         jobs.select(*LIST_COLUMNS)
         .orderBy(F.col("created_at").desc(), F.col("job_id"))
-        .limit(LIST_LENGTH)
+        .limit(length)
     )
 
 
-def recent_count(jobs: DataFrame) -> DataFrame:
+def recent_count(jobs: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
     """Q4: length of the list of Q3, not of the table."""
-    return recent(jobs).agg(F.count(F.lit(1)).alias("count"))
+    return recent(jobs, length).agg(F.count(F.lit(1)).alias("count"))
 
 
 def snapshot(jobs: DataFrame) -> DataFrame:

@@ -172,3 +172,32 @@ def test_chat_client(monkeypatch):
     monkeypatch.setattr(urllib.request, "urlopen", urlopen)
     assert chat_client("http://model:1", timeout=5)()('{"x": "é"}') == ' {"a": "é"} '
     assert seen == {"url": "http://model:1/api/chat", "body": '{"x": "é"}'.encode(), "timeout": 5}
+
+
+def test_slices_go_on_and_failed_calls_are_asked_again(spark, tmp_path):
+    """The first call for a document fails; finished slices are not asked again."""
+    calls, out = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    folder = str(calls)
+
+    def factory():
+        import os
+        import uuid
+
+        def client(body):
+            before = [f for f in os.listdir(folder) if f.startswith(f"{body}-")]
+            open(f"{folder}/{body}-{uuid.uuid4().hex}", "w").close()
+            if not before:
+                raise TimeoutError
+            return f"answer {body}"
+
+        return client
+
+    requests = spark.range(12).selectExpr("id as doc_id", "cast(id as string) as request")
+    first = enrichment.respond_in_slices(requests, factory, out, slices=3, concurrency=2)
+    assert first.filter("response is null").count() == 12
+    again = enrichment.respond_in_slices(requests, factory, out, slices=3, concurrency=2)
+    assert again.filter("response is null").count() == 12 and len(list(calls.iterdir())) == 12
+    third = enrichment.respond_in_slices(requests, factory, out, slices=3, max_attempts=2)
+    assert {r.response for r in third.collect()} == {f"answer {i}" for i in range(12)}
+    assert len(list(calls.iterdir())) == 24
