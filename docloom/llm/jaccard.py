@@ -15,8 +15,8 @@ token's hash bucket is, rare ones first, so that passages that many documents sh
 is the sets with one such token, and an R-tree joins the sets of a cell. A cell of many rows is dealt
 into blocks that are joined pairwise, each in a task of its own.
 
-Before the trees, neighbours in a cell (by size, at a few distances) are verified, and what they link is
-contracted. Cells within one component drop out, and the trees only look for pairs across components,
+Before the trees, neighbours in a cell (by size, at a few distances) are bounded and verified, and what
+they link is contracted. Cells within one component drop out, and the trees only look for pairs across components,
 so a group of many near copies is never expanded into all its pairs.
 
 The driver holds counts and one bitmap of fixed size, never links or sets. Tables between steps are
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
@@ -44,13 +44,19 @@ from docloom.llm.url_filter import Bloom
 
 PERCENT = 80
 GROUPS = 128
+#: Groups of the finer points by which pairs are bounded once more before sets move.
+FINE_GROUPS = 1024
 #: Hash buckets in which tokens are counted for their order; a power of two.
-SKETCH = 1 << 18
+SKETCH = 1 << 16
 #: Distances in a cell at which neighbours are verified first.
 STRIDES = (1, 2, 4, 8)
 NODE = 16
+#: Tokens of a class before the one of a cell by which pairs of earlier cells are known.
+BACK = 3
 #: Rows of a cell that one task joins; larger cells are dealt into blocks.
 BLOCK = 2048
+#: Classes of which a task remembers that it gave their tokens; later ones may give them again.
+SEEN = 1 << 20
 #: Bits of the map of sets that take part in a verification.
 WANTED_BITS = 1 << 22
 TOKEN_BITS = np.uint64((1 << 48) - 1)
@@ -82,37 +88,38 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def token_sets(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """``doc_id, cid, n, part, tokens``: the tokens come once for each class and task, else null."""
-    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    """``doc_id, text_hash, cid, n, tokens``: tokens come once for each class and task, else null."""
+    narrow = docs.select(
+        F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text")
+    )
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), set()
+        seen: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
                 cids, sizes, sets = [], [], []
-                for text in some.column(1).to_pylist():
+                for text in some.column(2).to_pylist():
                     tokens = np.unique(shingle_set(text, words) & TOKEN_BITS)
                     cid = class_of(tokens)
                     cids.append(cid)
                     sizes.append(len(tokens))
                     sets.append(pack(tokens) if len(tokens) and cid not in seen else None)
-                    seen.add(cid)
+                    if len(seen) < SEEN:
+                        seen.add(cid)
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0),
+                        some.column(1),
                         pa.array(cids, pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.array([part] * len(cids), pa.int32()),
                         pa.array(sets, pa.binary()),
                     ],
-                    ["doc_id", "cid", "n", "part", "tokens"],
+                    ["doc_id", "text_hash", "cid", "n", "tokens"],
                 )
 
-    return narrow.mapInArrow(make, f"doc_id {kind}, cid bigint, n bigint, part int, tokens binary")
+    return narrow.mapInArrow(make, f"doc_id {kind}, text_hash bigint, cid bigint, n bigint, tokens binary")
 
 
 def sketch_of(sets: DataFrame) -> np.ndarray:
@@ -165,8 +172,6 @@ def cells(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     ["token", "cid", "n"],
                 )
 
-    from pyspark.sql import Window
-
     dealt = sets.select("cid", "n", "tokens").mapInArrow(deal, "token bigint, cid bigint, n bigint")
     by_size = Window.partitionBy("token").orderBy("n", "cid")
 
@@ -183,11 +188,9 @@ def cells(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     )
 
 
-def wanted(sets: DataFrame, cids: DataFrame) -> DataFrame:
-    """``cid, n, tokens`` once for each class of ``cids``, and for few others.
-
-    A bitmap of fixed size drops most other sets before anything moves.
-    """
+def map_of(cids: DataFrame) -> Bloom:
+    """A bitmap of fixed size over the classes of ``cids``, by which most other sets can be dropped
+    before anything moves."""
     row = Bloom((), WANTED_BITS, 1, 0)
     words = (
         cids.select(row.places(F.col("cid"))[0].alias("place"))
@@ -197,19 +200,14 @@ def wanted(sets: DataFrame, cids: DataFrame) -> DataFrame:
     )
     full = np.zeros(WANTED_BITS // 64, "i8")
     full[words.word.to_numpy("i8")] = words.bits.to_numpy("i8")
-    map_of = Bloom(tuple(full.tolist()), WANTED_BITS, 1, 0)
-    return (
-        sets.filter(map_of.contains(F.col("cid")))
-        .groupBy("cid")
-        .agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    )
+    return Bloom(tuple(full.tolist()), WANTED_BITS, 1, 0)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets link."""
     pairs = stored(pairs, "pairs")
     both = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
-    some = wanted(sets, both)
+    some = sets.filter(map_of(both).contains(F.col("cid"))).groupBy("cid").agg(F.first("tokens").alias("tokens"))
     left = some.select(F.col("cid").alias("a"), F.col("tokens").alias("left"))
     right = some.select(F.col("cid").alias("b"), F.col("tokens").alias("right"))
 
@@ -229,10 +227,52 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # --- the R-tree of one cell
 
 
-def counts_of(tokens: np.ndarray) -> np.ndarray:
-    """A set's point: how many of its tokens fall into each group."""
-    groups = (tokens >> np.uint64(24)) % np.uint64(GROUPS)
-    return np.bincount(groups.astype("i8"), minlength=GROUPS).clip(0, 65535).astype("<u2")
+def counts_of(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """A set's point: how many of its tokens fall into each group, a byte each; 255 stands for any
+    greater number, too, and bounds nothing."""
+    group = (tokens >> np.uint64(24)) % np.uint64(groups)
+    return np.bincount(group.astype("i8"), minlength=groups).clip(0, 255).astype("u1")
+
+
+def as_points(column: pa.ChunkedArray | pa.Array, groups: int = GROUPS) -> np.ndarray:
+    points = np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, groups).astype("i4")
+    points[points == 255] = 1 << 24
+    return points
+
+
+def points_of(sets: DataFrame, cids: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """``cid, n, counts``: the points of the classes of ``cids``, and of few others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [counts_of(unpack(x), groups).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(points, pa.binary())], ["cid", "n", "counts"]
+            )
+
+    some = sets.filter(map_of(cids).contains(F.col("cid"))).select("cid", "n", "tokens")
+    points = some.mapInArrow(count, "cid bigint, n bigint, counts binary")
+    return stored(points.groupBy("cid").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "points")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose finer points allow a link."""
+    pairs = stored(pairs, "pairs")
+    both = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    points = points_of(sets, both, FINE_GROUPS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                a, b, n_a, n_b, one, other = batch.slice(k, 1024).columns
+                least = np.minimum(as_points(one, FINE_GROUPS), as_points(other, FINE_GROUPS))
+                sums = least.sum(axis=1, dtype="i8")
+                keep = pa.array(sums >= needed_overlap(n_a.to_numpy() + n_b.to_numpy(), percent))
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    left, right = (points.select(*[F.col(c).alias(f"{c}_{s}") for c in points.columns]) for s in "ab")
+    joined = pairs.join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b"))
+    return joined.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(compare, "a bigint, b bigint")
 
 
 def tile_order(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -286,6 +326,8 @@ def tree_pairs(
             ok = bound >= needed_overlap(sizes[q] + floor, percent)
             kept_q.append(q[ok])
             kept_n.append(n[ok])
+        if not kept_q:
+            return np.zeros(0, "i8"), np.zeros(0, "i8")
         query, node = np.concatenate(kept_q), np.concatenate(kept_n)
         if depth:
             below = len(levels[depth - 1][0])
@@ -320,20 +362,26 @@ def _join_cells(percent: int):
         if not table.num_rows:
             return
         token, lo, hi, side, cid, n, comp = (table.column(c).to_numpy() for c in ("token", "lo", "hi", "side", "cid", "n", "comp"))
-        points = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, GROUPS)
+        points = as_points(table.column("counts"))
         new = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         begins = np.concatenate(([0], np.flatnonzero(new) + 1, [len(token)]))
         lengths = np.diff(begins)
         key = np.repeat(np.arange(len(lengths)), lengths)
+        back = np.stack([table.column(f"back{k}").to_numpy() for k in range(1, BACK + 1)], axis=1)
         found = []
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            known = ((back[i][:, :, None] == back[j][:, None, :]) & (back[i] >= 0)[:, :, None]).any(axis=(1, 2))
+            found.append((cid[i[~known]], cid[j[~known]]))
+
         small = np.repeat((lengths <= NODE) & (lo[begins[:-1]] == hi[begins[:-1]]), lengths)
         rows = np.flatnonzero(small)
         for i, j in leaf_pairs(key[rows], points[rows], n[rows], comp[rows], percent):
-            found.append((cid[rows[i]], cid[rows[j]]))
+            add(rows[i], rows[j])
         for c in np.flatnonzero((lengths > NODE) | (lo[begins[:-1]] != hi[begins[:-1]])):
             at = slice(begins[c], begins[c + 1])
             i, j = tree_pairs(points[at], n[at], comp[at], side[at], lo[begins[c]] != hi[begins[c]], percent)
-            found.append((cid[at][i], cid[at][j]))
+            add(begins[c] + i, begins[c] + j)
         a = np.concatenate([np.minimum(x, y) for x, y in found] or [np.zeros(0, "i8")])
         b = np.concatenate([np.maximum(x, y) for x, y in found] or [np.zeros(0, "i8")])
         pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), "i8")
@@ -358,7 +406,12 @@ def _join_cells(percent: int):
 
 
 def cell_pairs(found: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs across components that the trees of all cells let through."""
+    """Pairs across components that the trees of all cells let through.
+
+    Two sets may meet in many cells. A row carries its class's ``BACK`` tokens before this one among
+    all its cells, and a pair that has one of them in common is left to that token's cell, where the
+    same holds; so each pair comes from the cell of its first common token, and few others.
+    """
     named = found.select("token", "cid", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     named = named.select("token", "cid", "n", F.coalesce("root", "cid").alias("comp"))
     mixed = (
@@ -367,21 +420,17 @@ def cell_pairs(found: DataFrame, sets: DataFrame, roots: DataFrame, percent: int
         .filter(F.col("one") != F.col("other"))
         .select("token", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     )
-    rows = stored(named.join(mixed, "token"), "mixed-cells")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = [counts_of(unpack(x)).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], ["cid", "counts"])
-
-    points = wanted(sets, rows.select("cid")).select("cid", "tokens").mapInArrow(count, "cid bigint, counts binary")
+    by_class = Window.partitionBy("cid").orderBy("token")
+    back = {f"back{k}": F.coalesce(F.lag("token", k).over(by_class), F.lit(-1)) for k in range(1, BACK + 1)}
+    rows = stored(named.join(mixed, "token").withColumns(back), "mixed-cells")
+    points = points_of(sets, rows.select("cid"))
     side = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
-        rows.join(points, "cid")
+        rows.join(points.select("cid", "counts"), "cid")
         .withColumn("side", side)
         .withColumn("other", other)
-        .select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cid", "n", "comp", "counts")
+        .select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cid", "n", "comp", "counts", *back)
     )
     sorted_cells = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "cid")
     return sorted_cells.mapInArrow(_join_cells(percent), "a bigint, b bigint").distinct()
@@ -395,16 +444,15 @@ def join(
     shingle_words: int = SHINGLE_WORDS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, its class ``cid``, ``n_shingles``, and ``root``, the class
-    that names its component; a class without links, and each empty document, is its own."""
+    """One row per document: ``doc_id``, ``text_hash``, its class ``cid``, ``n_shingles``, and ``root``,
+    the class that names its component; a class without links, and the empty one, is its own."""
     rows = stored(token_sets(docs, id_column, text_column, shingle_words), "token-sets")
     sets = rows.filter(F.col("tokens").isNotNull()).select("cid", "n", "tokens")
     found = stored(cells(sets, sketch_of(sets), percent), "cells")
     near = found.select("cid", F.explode("near").alias("other"))
     first = near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-    links = verify(first, sets, percent)
-    roots = components(links)
-    more = verify(cell_pairs(found, sets, roots, percent, block), sets, percent)
+    roots = components(verify(bounded(first, sets, percent), sets, percent))
+    more = verify(bounded(cell_pairs(found, sets, roots, percent, block), sets, percent), sets, percent)
     # contracted links: components of components
     contracted = (
         more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
@@ -415,9 +463,9 @@ def join(
     nodes = roots.unionByName(tops.select(F.col("root").alias("node"), "root")).distinct()
     final = nodes.join(tops, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root"))
     return (
-        rows.select("doc_id", "cid", F.col("n").alias("n_shingles"))
+        rows.select("doc_id", "text_hash", "cid", F.col("n").alias("n_shingles"))
         .join(final.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        .select("doc_id", "cid", "n_shingles", F.coalesce("root", "cid").alias("root"))
+        .select("doc_id", "text_hash", "cid", "n_shingles", F.coalesce("root", "cid").alias("root"))
     )
 
 
@@ -427,3 +475,20 @@ def with_component(joined: DataFrame) -> DataFrame:
     return joined.join(least, "root", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     )
+
+
+def one_per_component(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT
+) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id (a null id comes last).
+
+    Each empty document is a component of its own; of rows equal in id and text one stays.
+    """
+    joined = stored(join(docs, id_column, text_column, percent), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    firsts = joined.filter(F.col("n_shingles") > 0).groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+    empty = joined.filter(F.col("n_shingles") == 0).select(F.lit(False).alias("unnamed"), "doc_id", "text_hash")
+    keep = firsts.unionAll(empty).select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text_column))
+    same = keyed[id_column].eqNullSafe(keep["_keep_id"]) & (keyed["_text_hash"] == keep["_keep_hash"])
+    return keyed.join(keep, same, "left_semi").dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")
