@@ -40,9 +40,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges.distinct(), "links")
     for _ in range(MAX_ROUNDS):
         edges = stored(_hang(_hang(edges, True), False), "links")
-        parents = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        if parents.filter(F.col("n") > 1).limit(1).count() == 0 and inner.limit(1).count() == 0:
+        # settled: a node hangs once at most, and what hangs carries nothing
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if loose.filter("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0:
             roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
     raise RuntimeError("components do not settle")
