@@ -35,7 +35,7 @@ SLICE_WORDS = 200_000
 MAX_COVERAGE = 0.5
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = re.compile(WORD)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in text that is not lowered
 _BREAK = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else 32 for c in range(256))
 _TABLE = bytes(_BREAK[ord(chr(c).lower())] if c < 128 else c for c in range(256))
 

@@ -54,14 +54,23 @@ def test_decontaminate(spark, bench):
     words = PASSAGE.split()
     clean = " ".join(f"c{i}" for i in range(60))
     nested = f"{clean} {' '.join(words[:6])} {PASSAGE} {' '.join(words[6:12])} end"
-    texts = {0: f"{clean}. {PASSAGE}! Rest, stays.", 1: PASSAGE, 2: clean, 3: None, 4: nested, 5: ""}
+    shouted = f"{clean.upper()} É-x. {PASSAGE.upper()}! REST, Stays."
+    texts = {0: f"{clean}. {PASSAGE}! Rest, stays.", 6: shouted, 1: PASSAGE, 2: clean, 3: None, 4: nested, 5: ""}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("_x", F.lit(1))
     got = {r.doc_id: r.text for r in D.decontaminate(docs, bench).collect()}
+    assert got.pop(6) == f"{clean.upper()} É-x. ! REST, Stays."
     assert set(got) == {0, 2, 3, 4, 5} and got[2] == clean and got[3] is None and got[5] == ""
     assert got[0] == f"{clean}. ! Rest, stays." and got[4].split() == [*clean.split(), "end"]
     assert D.decontaminate(docs, bench).columns == docs.columns
 
 
+def test_words_of_texts_stand_where_they_are_found():
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choice("aZ0 .,@[`{é😀\n_") for _ in range(rng.randint(0, 40)))
+        assert [m.group().encode().translate(D._TABLE) for m in D._WORD.finditer(text)] == D.words_of(text)
+
+
 def test_empty_tables(spark, bench):
     docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")
     assert D.find(docs, bench.limit(0)).first().found.n_hit == 0
