@@ -153,8 +153,11 @@ def first_tokens(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> np.nda
 
 
 def cells(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """``token, cid, n`` of all cells with two rows or more, and ``near``: classes before this one in
-    the cell, by size, at the distances of ``STRIDES``, of a size that could link."""
+    """``token, cid, n`` of all rows of cells that have a neighbour of a size that could link, and
+    ``near``: classes before this one in the cell, by size, at the distances of ``STRIDES``.
+
+    Rows of a cell are in order of size, so one that fits neither of its neighbours fits no other row.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +182,9 @@ def cells(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
         size, cid = F.lag("n", k).over(by_size), F.lag("cid", k).over(by_size)
         return F.when((size * 100 >= F.col("n") * percent) & (cid != F.col("cid")), cid)
 
-    alone = F.lag("cid", 1).over(by_size).isNull() & F.lead("cid", 1).over(by_size).isNull()
+    below = F.lag("n", 1).over(by_size) * 100 >= F.col("n") * percent
+    above = F.col("n") * 100 >= F.lead("n", 1).over(by_size) * percent
+    alone = ~(F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False)))
     near = {f"near{k}": before(k) for k in STRIDES}
     return (
         dealt.withColumns({"alone": alone, **near})
@@ -414,16 +419,22 @@ def cell_pairs(found: DataFrame, sets: DataFrame, roots: DataFrame, percent: int
     """
     named = found.select("token", "cid", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     named = named.select("token", "cid", "n", F.coalesce("root", "cid").alias("comp"))
+    cell = Window.partitionBy("token")
     mixed = (
-        named.groupBy("token")
-        .agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.count(F.lit(1)).alias("rows"))
+        named.withColumns(
+            {
+                "one": F.min("comp").over(cell),
+                "other": F.max("comp").over(cell),
+                "rows": F.count(F.lit(1)).over(cell),
+            }
+        )
         .filter(F.col("one") != F.col("other"))
-        .select("token", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+        .select("token", "cid", "n", "comp", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     )
     by_class = Window.partitionBy("cid").orderBy("token")
     back = {f"back{k}": F.coalesce(F.lag("token", k).over(by_class), F.lit(-1)) for k in range(1, BACK + 1)}
-    rows = stored(named.join(mixed, "token").withColumns(back), "mixed-cells")
-    points = points_of(sets, rows.select("cid"))
+    rows = mixed.withColumns(back)
+    points = points_of(sets, found.select("cid"))
     side = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
