@@ -228,14 +228,24 @@ PRIOR = np.array([1.0, 0.7, -0.3, 0.0, 0.0, 0.0])
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model by Newton's method, held to ``PRIOR`` but for the bias."""
     x1 = np.column_stack([x, np.ones(len(x))])
-    hold = np.diag([ridge] * x.shape[1] + [1e-6])
+    hold = np.append(np.full(x.shape[1], ridge), 1e-6)
     prior = np.append(PRIOR, 0.0)
     w = prior.copy()
+
+    def loss(at: np.ndarray) -> float:
+        z = x1 @ at
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(hold * (at - prior) ** 2))
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + hold, x1.T @ (y - p) - hold @ (w - prior))
-        w += step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -500, 500)))
+        curve = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(hold)
+        step = np.linalg.solve(curve, x1.T @ (y - p) - hold * (w - prior))
+        # a whole step may overshoot far from the optimum; the loss is convex, so a shorter one helps
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        w, before, now = w + step, now, min(now, then)
+        if before - now < 1e-9:
             break
     return w[:-1], float(w[-1])
 

@@ -72,3 +72,17 @@ def test_edge_rows(spark):
     one_kind = X.fit(docs, labels.filter("toxic = 0"), learnable("doc_id"))
     none = X.fit(docs, labels.limit(0), learnable("doc_id"))
     assert {r.score < 0.01 for m in (one_kind, none) for r in X.score(docs, m).collect()} == {True}
+
+
+def test_logistic_from_a_far_start():
+    """Features as large as real ones are, and classes that they separate."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for scale in (1, 10, 100):
+        toxic = rng.random(3000) < 0.1
+        x = np.abs(rng.normal(size=(3000, len(X.FEATURES)))) * toxic[:, None] * scale
+        w, bias = X.logistic(x, toxic.astype(float))
+        score = 1 / (1 + np.exp(-np.clip(x @ w + bias, -40, 40)))
+        assert np.abs(w).max() < 100 and abs(bias) < 100
+        assert (score[toxic] > 0.3).mean() > 0.95 and (score[~toxic] < 0.3).all()
