@@ -27,7 +27,7 @@ END_ID = 1
 #: A longer text is tokenized in parts, cut at white space, where tokens never cross.
 PART_CHARS = 1 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 DOCS_AT_ONCE = 256
 #: Stands between words that are tokenized in one call. On its own it is one token.
 MARK = "\x1e"

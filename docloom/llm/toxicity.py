@@ -48,7 +48,7 @@ FUZZY_LETTERS = 5
 STEM_LETTERS = (5, 6, 7)
 PART_CHARS = 1 << 20
 #: What a worker remembers: words, and steps of the automaton.
-KNOWN_WORDS, KNOWN_STEPS = 300_000, 200_000
+KNOWN_WORDS, KNOWN_STEPS = 100_000, 200_000
 
 #: Words that report what others say, in the languages this was written for.
 REPORTING = frozenset(
