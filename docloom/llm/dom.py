@@ -5,8 +5,11 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
+import numpy as np
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
     r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -152,95 +155,235 @@ def parse(source: str | None) -> Page:
     return page
 
 
+@dataclass
+class Kinds:
+    """The different subtrees of a page, numbered so that what is below one has lower numbers."""
+
+    signs: list[tuple] = field(default_factory=list)
+    below: list[tuple[int, ...]] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    numbers: dict[tuple, int] = field(default_factory=dict)
+
+    def number(self, sign: tuple, below: tuple[int, ...]) -> int:
+        kind = self.numbers.setdefault((sign, below), len(self.signs))
+        if kind == len(self.signs):
+            self.signs.append(sign)
+            self.below.append(below)
+            self.sizes.append(1 + sum(self.sizes[k] for k in below))
+        return kind
+
+
 @dataclass
 class Shape:
-    """A tree for matching: runs of like elements without element children count as one."""
+    """A tree for matching: runs of siblings whose whole subtrees are alike count as one."""
 
     sign: tuple
     nodes: list[Node]
     children: list[Shape]
-    size: int
-    slot: int
+    kind: int
+    kinds: Kinds
+    slot: int = 0
+
+    @property
+    def size(self) -> int:
+        return self.kinds.sizes[self.kind]
+
+
+def _fold(one: Shape, other: Shape) -> None:
+    """Takes the nodes of a shape into another of its kind."""
+    todo = [(one, other)]
+    while todo:
+        a, b = todo.pop()
+        a.nodes += b.nodes
+        todo += zip(a.children, b.children, strict=True)
 
 
 def shape_of(page: Page) -> Shape:
     """The page's shape, with slots numbered from 1 in page order."""
-    count = 0
-
-    def build(node: Node) -> Shape:
-        nonlocal count
-        count += 1
-        made = Shape(node.sign, [node], [], 1, count)
+    order, todo = [], [page.root]
+    while todo:
+        order.append(todo.pop())
+        todo += order[-1].children
+    kinds = Kinds()
+    made: dict[int, Shape] = {}
+    for node in reversed(order):
+        children: list[Shape] = []
         for child in node.children:
-            last = made.children[-1] if made.children else None
-            if last and not child.children and not last.children and last.sign == child.sign:
-                last.nodes.append(child)
+            shape = made.pop(id(child))
+            if children and children[-1].kind == shape.kind:
+                _fold(children[-1], shape)
+            else:
+                children.append(shape)
+        sign = node.sign
+        made[id(node)] = Shape(sign, [node], children, kinds.number(sign, tuple(c.kind for c in children)), kinds)
+    root = made[id(page.root)]
+    count, todo = 0, [root]
+    while todo:
+        shape = todo.pop()
+        count += 1
+        shape.slot = count
+        todo += reversed(shape.children)
+    return root
+
+
+#: Rows of a table that are kept at once; others are made again from those when asked for.
+KEPT_ROWS = 64
+
+
+class Matching:
+    """Simple tree matching between the kinds of two pages.
+
+    Scores are kept by pair of kinds, four bytes each, however many elements are of a kind. Siblings that
+    are alike from either end are paired at once, which no pairing betters. A table over the rest is held in
+    ``KEPT_ROWS`` rows a level.
+    """
+
+    def __init__(self, one: Kinds, other: Kinds) -> None:
+        self.one, self.other = one, other
+        self.same: list[int] = []  # the other page's number of each kind, or -1
+        for sign, below in zip(one.signs, one.below, strict=True):
+            self.same.append(other.numbers.get((sign, tuple(self.same[k] for k in below)), -1))
+        self.scores: dict[int, array] = {}
+
+    def _plain(self, a: int, b: int) -> int | None:
+        """A score that needs no table, or one that is known."""
+        if self.one.signs[a] != self.other.signs[b]:
+            return 0
+        if self.same[a] == b:
+            return self.one.sizes[a]
+        if not self.one.below[a] or not self.other.below[b]:
+            return 1
+        known = self.scores.get(a)
+        return None if known is None or known[b] < 0 else known[b]
+
+    def _ends(self, a: int, b: int) -> tuple[int, int]:
+        """How many siblings are alike from the first and from the last."""
+        ones, others = self.one.below[a], self.other.below[b]
+        first, last, most = 0, 0, min(len(ones), len(others))
+        while first < most and self.same[ones[first]] == others[first]:
+            first += 1
+        while last < most - first and self.same[ones[-1 - last]] == others[-1 - last]:
+            last += 1
+        return first, last
+
+    def _rest(self, a: int, b: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]]:
+        first, last = self._ends(a, b)
+        ones, others = self.one.below[a], self.other.below[b]
+        return first, last, ones[first : len(ones) - last], others[first : len(others) - last]
+
+    def score(self, a: int, b: int) -> int:
+        """The most nodes that two trees map in order; what is below is scored first, from a stack."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._plain(x, y) is not None:
+                todo.pop()
                 continue
-            made.children.append(build(child))
-        made.size += sum(c.size for c in made.children)
-        return made
-
-    return build(page.root)
-
-
-def match(one: Shape, other: Shape, memo: dict | None = None) -> int:
+            first, last, ones, others = self._rest(x, y)
+            some = set(others)
+            missing = [(k, m) for k in set(ones) for m in some if self._plain(k, m) is None]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            alike = self.one.below[x][:first] + self.one.below[x][len(self.one.below[x]) - last :]
+            total = 1 + sum(self.one.sizes[k] for k in alike)
+            if ones and others:
+                total += int(_Table(self, ones, others).last()[-1])
+            if x not in self.scores:
+                self.scores[x] = array("i", [-1]) * len(self.other.signs)
+            self.scores[x][y] = total
+        return self._plain(a, b)
+
+    def pairs(self, a: int, b: int) -> dict[int, int]:
+        """Which child of the one maps to which of the other, by place."""
+        self.score(a, b)
+        first, last, ones, others = self._rest(a, b)
+        n, m = len(self.one.below[a]), len(self.other.below[b])
+        found = {i: i for i in range(first)} | {n - 1 - i: m - 1 - i for i in range(last)}
+        if ones and others:
+            for k in set(ones):
+                for j in set(others):
+                    self.score(k, j)
+            found |= {first + i: first + j for i, j in _Table(self, ones, others).pairs()}
+        return found
+
+
+class _Table:
+    """The table of two rows of siblings, a numpy row at a time."""
+
+    def __init__(self, matching: Matching, ones: tuple[int, ...], others: tuple[int, ...]) -> None:
+        by_one, by_other = ({k: i for i, k in enumerate(dict.fromkeys(x))} for x in (ones, others))
+        self.weights = np.array([[matching._plain(a, b) for b in by_other] for a in by_one], "i4")
+        self.ones = [by_one[k] for k in ones]
+        self.others = np.array([by_other[k] for k in others])
+
+    def _next(self, before: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros_like(before)
+        wide = len(before) - 1
+        np.maximum(before[1:], before[:-1] + self.weights[self.ones[i]][self.others[:wide]], out=row[1:])
+        return np.maximum.accumulate(row, out=row)
+
+    def last(self) -> np.ndarray:
+        row = np.zeros(len(self.others) + 1, "i4")
+        for i in range(len(self.ones)):
+            row = self._next(row, i)
+        return row
+
+    def pairs(self) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+
+        def back(start: np.ndarray, low: int, high: int, j: int) -> int:
+            """Goes back from row ``high`` to ``low``, whose row is ``start``; depth is log(rows)."""
+            step = max(1, -(-(high - low) // KEPT_ROWS))
+            row = start[: j + 1]
+            kept = [row]
+            for i in range(low, high):
+                row = self._next(row, i)
+                if (i + 1 - low) % step == 0 or i + 1 == high:
+                    kept.append(row)
+            if step > 1:
+                for at in range(len(kept) - 2, -1, -1):
+                    j = back(kept[at], low + at * step, min(high, low + (at + 1) * step), j) if j else 0
+                return j
+            i = high
+            while i > low and j:
+                now, before = kept[i - low], kept[i - low - 1]
+                if now[j] == before[j]:
+                    i -= 1
+                elif now[j] == now[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((i, j))
+            return j
+
+        back(np.zeros(len(self.others) + 1, "i4"), 0, len(self.ones), len(self.others))
+        return found
+
+
+def match(one: Shape, other: Shape) -> int:
     """Simple tree matching: the most nodes that two trees with like roots map in order."""
-    memo = {} if memo is None else memo
-    key = (one.slot, other.slot)
-    if key not in memo:
-        if one.sign != other.sign:
-            memo[key] = 0
-        else:
-            memo[key] = 1 + _table(one, other, memo)[-1][-1]
-    return memo[key]
-
-
-def _table(one: Shape, other: Shape, memo: dict) -> list[list[int]]:
-    rows = [[0] * (len(other.children) + 1)]
-    for a in one.children:
-        row, before = [0], rows[-1]
-        for j, b in enumerate(other.children):
-            best = max(row[j], before[j + 1])
-            if a.sign == b.sign:
-                best = max(best, before[j] + match(a, b, memo))
-            row.append(best)
-        rows.append(row)
-    return rows
+    return Matching(one.kinds, other.kinds).score(one.kind, other.kind)
 
 
 def align(page: Shape, template: Shape) -> None:
     """Gives each node of the page the slot of the template's node it maps to; nodes without one get
     a slot below zero from their place among unmatched elements."""
-    memo: dict = {}
-
-    def unmatched(shape: Shape, above: int) -> None:
-        slot = -1 - zlib.crc32(repr((above, shape.sign[0], sorted(shape.sign[1]))).encode())
-        for node in shape.nodes:
-            node.slot = slot
-        for child in shape.children:
-            unmatched(child, slot)
-
-    def mapped(a: Shape, b: Shape) -> None:
+    matching = Matching(page.kinds, template.kinds)
+    known: dict[tuple[int, int], dict[int, int]] = {}
+    todo: list[tuple[Shape, Shape | None, int]] = [(page, template if page.sign == template.sign else None, 0)]
+    while todo:
+        a, b, above = todo.pop()
+        if b is None:
+            slot = -1 - zlib.crc32(repr((above, a.sign[0], sorted(a.sign[1]))).encode())
+            pairs = {}
+        else:
+            slot = b.slot
+            if a.children and b.children and (a.kind, b.kind) not in known:
+                known[a.kind, b.kind] = matching.pairs(a.kind, b.kind)
+            pairs = known.get((a.kind, b.kind), {})
         for node in a.nodes:
-            node.slot = b.slot
-        rows = _table(a, b, memo)
-        i, j = len(a.children), len(b.children)
-        pairs = {}
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs[i] = j
+            node.slot = slot
         for k, child in enumerate(a.children):
-            if k in pairs:
-                mapped(child, b.children[pairs[k]])
-            else:
-                unmatched(child, b.slot)
-
-    if page.sign == template.sign:
-        mapped(page, template)
-    else:
-        unmatched(page, 0)
+            todo.append((child, b.children[pairs[k]] if k in pairs else None, slot))

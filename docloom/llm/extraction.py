@@ -55,31 +55,38 @@ MAIN_TAGS = frozenset(("article", "main"))
 TEXT_TAGS = frozenset("article main p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
 
 
-def _above(node: dom.Node) -> Iterator[dom.Node]:
-    up = node.parent
-    while up is not None:
-        yield up
-        up = up.parent
-
-
 def content_blocks(page: dom.Page) -> tuple[list[int], bool]:
     """Numbers of the blocks that their elements allow to be main text, and whether these are the
     blocks inside main elements."""
-    nodes = {id(n): n for owner in page.owners for n in (owner, *_above(owner))}
-    around_main = {
-        id(n) for node in nodes.values() if node.tag in MAIN_TAGS and not node.words & STRICT_WORDS for n in (node, *_above(node))
-    }
+    nodes: dict[int, dom.Node] = {}
+    for owner in page.owners:
+        up = owner
+        while up is not None and id(up) not in nodes:
+            nodes[id(up)] = up
+            up = up.parent
+    around_main: set[int] = set()
+    for node in nodes.values():
+        if node.tag in MAIN_TAGS and not node.words & STRICT_WORDS:
+            up = node
+            while up is not None and id(up) not in around_main:
+                around_main.add(id(up))
+                up = up.parent
     seen: dict[int, tuple[bool, bool]] = {}
 
     def place(node: dom.Node) -> tuple[bool, bool]:
         """Whether a node is inside other matter, and inside a main element."""
-        if id(node) not in seen:
-            other, main = place(node.parent) if node.parent else (False, False)
-            if node.tag not in ("#page", "html", "body"):
-                words = STRICT_WORDS if id(node) in around_main else OTHER_WORDS
+        path, up = [], node
+        while up is not None and id(up) not in seen:
+            path.append(up)
+            up = up.parent
+        other, main = seen[id(up)] if up is not None else (False, False)
+        for down in reversed(path):
+            if down.tag not in ("#page", "html", "body"):
+                words = STRICT_WORDS if id(down) in around_main else OTHER_WORDS
                 tags = OTHER_TAGS - {"header"} if main else OTHER_TAGS
-                other = other or bool(node.words & words) or (node.tag in tags and id(node) not in around_main)
-            seen[id(node)] = (other, main or node.tag in MAIN_TAGS)
+                other = other or bool(down.words & words) or (down.tag in tags and id(down) not in around_main)
+            main = main or down.tag in MAIN_TAGS
+            seen[id(down)] = (other, main)
         return seen[id(node)]
 
     allowed = [i for i, owner in enumerate(page.owners) if not place(owner)[0]]

@@ -90,3 +90,47 @@ def test_long_page(spark):
     body = "<p>" + "</p><p>".join(f"w{i} &amp; x" for i in range(20_000)) + "</p>"
     df = spark.createDataFrame([(1, "http://a.org", f"<article>{body}</article>")], "page_id long, url string, html string")
     assert E.extract(df).first().text.count("\n") == 19_999
+
+
+@pytest.mark.parametrize("name", ["table", "varied", "list", "alternating", "deep"])
+def test_large_pages_align_in_bounded_space(name):
+    import tracemalloc
+
+    rng = random.Random(4)
+    rows = {
+        "table": lambda n: f"<table>{''.join(f'<tr><td>a{i}<td>b{i}' for i in range(n))}</table>",
+        "varied": lambda n: f"<table>{''.join('<tr>' + '<td>x' * rng.randint(1, 3) + '<th>y' * rng.randint(0, 1) for i in range(n // 4))}</table>",
+        "list": lambda n: f"<ul>{''.join(f'<li><p>a{i}</p></li>' for i in range(n))}</ul>",
+        "alternating": lambda n: f"<dl>{''.join(f'<dt>a{i}<dd>b{i}' for i in range(n))}</dl>",
+        "deep": lambda n: "<div>t" * (n // 4) + "</div>" * (n // 4),
+    }[name]
+    one, other = (f"<body>{start}{rows(n)}</body>" for start, n in (("<h1>a</h1>", 20_000), ("<h2>a</h2>", 19_000)))
+    E._pivot.cache_clear()
+    tracemalloc.start()
+    page, keys = E.keyed_blocks(one, one)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(keys) == len(page.texts)
+    assert all(owner.slot > 0 for owner in page.owners)
+    page, keys = E.keyed_blocks(one, other)
+    assert len(keys) == len(page.texts) and E.main_text(one, other, frozenset()).count("\n") == len(page.texts) - 1
+    if name in ("table", "list"):
+        assert len({owner.slot for owner in page.owners if owner.tag in ("td", "p")}) <= 2
+
+
+def test_tables_made_again_in_blocks(monkeypatch):
+    """Pairs are in order, and come to the score, however few rows of a table are kept."""
+    rng = random.Random(6)
+
+    def page():
+        rows = "".join(f"<{t}>{'<p>x</p>' * rng.randint(0, 1)}<i>y</i></{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randint(1, 30)))
+        return dom.shape_of(dom.parse(rows))
+
+    for kept in (2, 3, 64):
+        monkeypatch.setattr(dom, "KEPT_ROWS", kept)
+        for _ in range(30):
+            a, b = page(), page()
+            matching = dom.Matching(a.kinds, b.kinds)
+            pairs = sorted(matching.pairs(a.kind, b.kind).items())
+            assert all(x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+            assert dom.match(a, b) == slow_match(a, b) == 1 + sum(slow_match(a.children[i], b.children[j]) for i, j in pairs)
