@@ -5,7 +5,8 @@ with its pivot's by simple tree matching, which gives each block of text a slot.
 host it is counted in how many different pages a slot holds a text. Texts that at least ``CONSTANT`` of
 them share (and ``MIN_PAGES`` of them) are the template's own: menus, notices, taglines. What varies is
 content, unless the slot's element says that it is none (menus, headers, footers, sidebars, adverts,
-forms, comments). If a page has an ``article`` or ``main`` element, only what is inside is its text.
+forms, comments), or it and the list or element around it are mostly links. If a page has an ``article``
+or ``main`` element, only what is inside is its text, and fewer class words tell there.
 
 Texts are counted by hashes, added up before they move; copies of a page count once. A host that holds
 a third of all pages is counted like others, and its pages never meet in one task. Pivots and constants
@@ -50,9 +51,25 @@ STRICT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements comment comments commentlist disqus replies respond "
     "sponsor sponsored promo promotion related recommended popup modal overlay".split()
 )
+#: Those that inside a main element tell only if an element has no other words: an ``entry-header``, or a
+#: part named ``share``, may be of the article.
+INNER_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail cookie cookies consent gdpr "
+    "newsletter subscribe subscription signup login contentinfo".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
 #: Elements of running text: inside a main element their texts stay, however many pages share them.
 TEXT_TAGS = frozenset("article main p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
+#: Parts of a container, and elements that are no container of one piece.
+PART_TAGS = TEXT_TAGS | frozenset("tr tbody thead tfoot".split())
+WHOLE_TAGS = frozenset("#page html body".split())
+
+
+def _container(node: dom.Node) -> dom.Node:
+    """The list or other element that a paragraph, or an item of a list or table, is part of."""
+    while node.tag in PART_TAGS and node.parent is not None:
+        node = node.parent
+    return node
 
 
 def content_blocks(page: dom.Page) -> tuple[list[int], bool]:
@@ -82,9 +99,11 @@ def content_blocks(page: dom.Page) -> tuple[list[int], bool]:
         other, main = seen[id(up)] if up is not None else (False, False)
         for down in reversed(path):
             if down.tag not in ("#page", "html", "body"):
-                words = STRICT_WORDS if id(down) in around_main else OTHER_WORDS
+                inner = main or id(down) in around_main
                 tags = OTHER_TAGS - {"header"} if main else OTHER_TAGS
-                other = other or bool(down.words & words) or (down.tag in tags and id(down) not in around_main)
+                other = other or bool(down.words & (STRICT_WORDS if inner else OTHER_WORDS))
+                if id(down) not in around_main:
+                    other = other or down.tag in tags or (main and bool(down.words) and down.words <= INNER_WORDS)
             main = main or down.tag in MAIN_TAGS
             seen[id(down)] = (other, main)
         return seen[id(node)]
@@ -93,9 +112,23 @@ def content_blocks(page: dom.Page) -> tuple[list[int], bool]:
     in_main = [i for i in allowed if place(page.owners[i])[1]]
     if in_main:
         return in_main, True
-    return [
-        i for i in allowed if page.owners[i].tag != "head" and 2 * page.links[i] <= len(page.texts[i])
-    ], False
+    # a block that is mostly links is text if the list or container it stands in is not
+    sums: dict[int, list[int]] = {}
+    for i in allowed:
+        of = sums.setdefault(id(_container(page.owners[i])), [0, 0])
+        of[0] += page.links[i]
+        of[1] += len(page.texts[i])
+
+    def mostly_text(i: int) -> bool:
+        if 2 * page.links[i] <= len(page.texts[i]):
+            return True
+        within = _container(page.owners[i])
+        if within.tag in WHOLE_TAGS:
+            return False
+        links, chars = sums[id(within)]
+        return 2 * links <= chars
+
+    return [i for i in allowed if page.owners[i].tag != "head" and mostly_text(i)], False
 
 
 @functools.lru_cache(maxsize=256)

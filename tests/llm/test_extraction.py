@@ -134,3 +134,15 @@ def test_tables_made_again_in_blocks(monkeypatch):
             pairs = sorted(matching.pairs(a.kind, b.kind).items())
             assert all(x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
             assert dom.match(a, b) == slow_match(a, b) == 1 + sum(slow_match(a.children[i], b.children[j]) for i, j in pairs)
+
+
+def test_class_words_and_links_of_articles():
+    cases = {
+        '<article><header class="entry-header"><h1>Title</h1></header><p>a</p></article>': "Title\na",
+        "<article><p class='form-of-verb'>a</p><div class='notice'>b</div><div class='share-price'>c</div><div class='toc-entry search'>d</div></article>": "a\nb\nc\nd",
+        "<main><div class='sidebar'>x</div><nav>y</nav><p class='ad'>z</p><p>a</p></main>": "a",
+        "<div><p>A long enough paragraph of text.</p><p><a href=x>its source</a></p></div>": "A long enough paragraph of text.\nits source",
+        "<p>t</p><ol><li>Author, Title of a work, 1999. <a href=x>doi</a></li><li><a href=y>A work online</a></li></ol>": "t\nAuthor, Title of a work, 1999. doi\nA work online",
+        "<p>t</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>": "t",
+    }
+    assert [E.main_text(h, h, frozenset()) for h in cases] == list(cases.values())
