@@ -37,9 +37,8 @@ from docloom.llm.tables import stored
 
 #: Labelled rows that are learned from, at most (as expected by a hash): a bound on the work of fitting.
 TRAIN_ROWS = 20_000
-#: Documents a term must stand in, and terms of the lexicon at most, the most telling ones.
+#: Documents a term must stand in. All that pass the test of chance are terms; the words of ``TRAIN_ROWS`` bound them.
 MIN_DOCS = 3
-MAX_TERMS = 2_000
 #: A score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Words on both sides of a hit that its reading takes in, and words before it that may report it.
@@ -47,8 +46,8 @@ CONTEXT, BEFORE = 8, 3
 FUZZY_LETTERS = 5
 STEM_LETTERS = (5, 6, 7)
 PART_CHARS = 1 << 20
-#: What a worker remembers: words, and steps of the automaton.
-KNOWN_WORDS, KNOWN_STEPS = 100_000, 200_000
+#: What a worker remembers: words, steps of the automaton, and trie nodes in its states.
+KNOWN_WORDS, KNOWN_STEPS, KNOWN_NODES = 100_000, 200_000, 1_000_000
 
 #: Words that report what others say, in the languages this was written for.
 REPORTING = frozenset(
@@ -81,6 +80,7 @@ class Lexicon:
     states: dict[tuple[tuple[int, int], ...], int] = field(default_factory=dict)
     members: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
     moves: dict[tuple[int, str], int] = field(default_factory=dict)
+    held: int = 0
     found: dict[str, tuple[str, int] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -102,7 +102,7 @@ class Lexicon:
         self.__init__(kept["weights"], kept["own_words"])
 
     def _forget(self) -> None:
-        self.states, self.members, self.moves = {}, [], {}
+        self.states, self.members, self.moves, self.held = {}, [], {}, 0
         self.start = self._state({0: 0})
 
     def _state(self, reach: dict[int, int]) -> int:
@@ -119,6 +119,7 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.members)
             self.members.append(key)
+            self.held += len(key)
         return self.states[key]
 
     def _move(self, state: int, letter: str) -> int:
@@ -137,7 +138,7 @@ class Lexicon:
     def match(self, word: str) -> tuple[str, int] | None:
         """What a word is in the lexicon, with its edits: the weightiest of the term itself and its
         stems, else the nearest term within reach."""
-        if len(self.moves) > KNOWN_STEPS:
+        if len(self.moves) > KNOWN_STEPS or self.held > KNOWN_NODES:
             self._forget()
         state, whole = self.start, []
         for letter in word:
@@ -318,8 +319,6 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         counts.filter((F.col("t") >= MIN_DOCS) & (share > by_chance) & ~F.col("word").isin(list(_QUOTES)))
         .select("word", odds.alias("odds"), surprise.alias("surprise"))
         .filter(F.col("surprise") > math.log(max(2, of_all.tried)))
-        .orderBy(F.desc("surprise"), "word")
-        .limit(MAX_TERMS)
     )
     terms = Lexicon({r.word: r.odds for r in told.collect() if r.odds > 0})
     shared = rows.sparkSession.sparkContext.broadcast(terms)

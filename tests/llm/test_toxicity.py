@@ -86,3 +86,12 @@ def test_logistic_from_a_far_start():
         score = 1 / (1 + np.exp(-np.clip(x @ w + bias, -40, 40)))
         assert np.abs(w).max() < 100 and abs(bias) < 100
         assert (score[toxic] > 0.3).mean() > 0.95 and (score[~toxic] < 0.3).all()
+
+
+def test_all_terms_beyond_chance_are_kept(spark):
+    import itertools
+
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopq", repeat=3)]
+    rude, kind = words[:2_200], words[2_200:4_400]
+    rows = spark.createDataFrame([(i % 2, " ".join(rude if i % 2 else kind)) for i in range(40)], "toxic int, text string")
+    assert set(X.learn_lexicon(rows).weights) == set(rude)
