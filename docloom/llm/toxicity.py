@@ -5,8 +5,10 @@ Learning counts, over labelled documents, in how many toxic and other documents
 toxic ones far more often than chance allows. The lexicon is a trie. A word runs through the trie and
 the Levenshtein automaton of its terms at once: a state is the set of trie nodes within reach with the
 edits spent, made when first needed and kept, so a known beginning costs one lookup a letter. Terms of
-``FUZZY_LETTERS`` or more are found with one edit; a word that other labelled documents use is a word
-of its own and no misspelling.
+``FUZZY_LETTERS`` or more are found with one edit, those of ``LONG_LETTERS`` with two. A learned lexicon
+also finds terms with two neighbouring letters swapped, or with look-alikes for any number of letters
+(``1d1ot``), each as one edit. A word that other labelled documents use is a word of its own and no
+misspelling.
 
 Each hit is read in a window of words: one inside quotation marks, or just behind a word that reports
 speech, counts as quotation, others as abuse. Sums of both over the document, weighted by how toxic the
@@ -43,7 +45,8 @@ MIN_DOCS = 3
 THRESHOLD = 0.3
 #: Words on both sides of a hit that its reading takes in, and words before it that may report it.
 CONTEXT, BEFORE = 8, 3
-FUZZY_LETTERS = 5
+#: Letters of a term from which one edit, and two, are allowed.
+FUZZY_LETTERS, LONG_LETTERS = 4, 8
 STEM_LETTERS = (5, 6, 7)
 PART_CHARS = 1 << 20
 #: What a worker remembers: words, steps of the automaton, and trie nodes in its states.
@@ -54,13 +57,15 @@ REPORTING = frozenset(
     "said says called quote quoted word words term wrote writes sagte schrieb nannte wort zitat "
     "dit appelé mot écrit citation dijo llamó palabra escribió cita".split()
 )
+#: Signs that stand for letters.
+LOOK_ALIKES = str.maketrans("013457@$", "oieastas")
 _QUOTES = "\"“”„«»"
 _TOKEN = re.compile(rf"\w[\w@$*]*\w|\w|[{_QUOTES}]")
 
 
 def edits_for(term: str) -> int:
     """Edits within which a term is still recognised."""
-    return 1 if len(term) >= FUZZY_LETTERS else 0
+    return (len(term) >= FUZZY_LETTERS) + (len(term) >= LONG_LETTERS)
 
 
 def with_stems(words: set[str]) -> set[str]:
@@ -74,7 +79,9 @@ class Lexicon:
 
     weights: dict[str, float]
     own_words: frozenset[str] = frozenset()
+    disguised: bool = False  # whether swaps and look-alikes count as one edit
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    limits: list[int] = field(default_factory=lambda: [0])  # edits of the terms below a node, at most
     ends: dict[int, str] = field(default_factory=dict)
     stems: dict[int, str] = field(default_factory=dict)
     states: dict[tuple[tuple[int, int], ...], int] = field(default_factory=dict)
@@ -85,21 +92,24 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         for term in self.weights:
-            node = 0
+            node, edits = 0, 0 if term.endswith("*") else edits_for(term)
+            self.limits[0] = max(self.limits[0], edits)
             for letter in term.removesuffix("*"):
                 if letter not in self.children[node]:
                     self.children.append({})
+                    self.limits.append(0)
                     self.children[node][letter] = len(self.children) - 1
                 node = self.children[node][letter]
+                self.limits[node] = max(self.limits[node], edits)
             (self.stems if term.endswith("*") else self.ends)[node] = term
-        self.most = max(map(edits_for, self.weights), default=0)
+        self.most = self.limits[0]
         self._forget()
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "own_words": self.own_words}
+        return {"weights": self.weights, "own_words": self.own_words, "disguised": self.disguised}
 
     def __setstate__(self, kept: dict) -> None:
-        self.__init__(kept["weights"], kept["own_words"])
+        self.__init__(kept["weights"], kept["own_words"], kept["disguised"])
 
     def _forget(self) -> None:
         self.states, self.members, self.moves, self.held = {}, [], {}, 0
@@ -112,7 +122,7 @@ class Lexicon:
             node, edits = todo.pop()
             if edits < self.most and reach[node] == edits:
                 for child in self.children[node].values():
-                    if reach.get(child, self.most + 1) > edits + 1:
+                    if self.limits[child] > edits and reach.get(child, self.most + 1) > edits + 1:
                         reach[child] = edits + 1
                         todo.append((child, edits + 1))
         key = tuple(sorted(reach.items()))
@@ -126,7 +136,7 @@ class Lexicon:
         reach: dict[int, int] = {}
 
         def add(node: int, edits: int) -> None:
-            if edits <= self.most and reach.get(node, self.most + 1) > edits:
+            if edits <= self.limits[node] and reach.get(node, self.most + 1) > edits:
                 reach[node] = edits
 
         for node, edits in self.members[state]:
@@ -138,6 +148,40 @@ class Lexicon:
     def match(self, word: str) -> tuple[str, int] | None:
         """What a word is in the lexicon, with its edits: the weightiest of the term itself and its
         stems, else the nearest term within reach."""
+        whole, near = self._read(word)
+        if whole:
+            return max(whole, key=lambda t: (self.weights[t], t)), 0
+        if self.disguised:
+            near += self._swapped(word)
+            plain = word.translate(LOOK_ALIKES)
+            if plain != word and not word.isdecimal():
+                whole, others = self._read(plain)
+                near += [(1, term) for term in whole if not term.endswith("*") and edits_for(term)]
+                near += [(edits + 1, term) for edits, term in others]
+        near = [(edits, term) for edits, term in near if edits <= edits_for(term)]
+        if not near or word in self.own_words:
+            return None
+        edits, term = min(near)
+        return term, edits
+
+    def _swapped(self, word: str) -> list[tuple[int, str]]:
+        """Terms that are the word but for two neighbouring letters, by the trie."""
+        found, node = [], 0
+        for i in range(len(word) - 1):
+            at: int | None = node
+            for letter in (word[i + 1], word[i], *word[i + 2 :]):
+                at = self.children[at].get(letter)
+                if at is None:
+                    break
+            if at in self.ends:
+                found.append((1, self.ends[at]))
+            if word[i] not in self.children[node]:
+                break
+            node = self.children[node][word[i]]
+        return found
+
+    def _read(self, word: str) -> tuple[list[str], list[tuple[int, str]]]:
+        """Terms and stems that a word is, and the terms that it reaches with edits."""
         if len(self.moves) > KNOWN_STEPS or self.held > KNOWN_NODES:
             self._forget()
         state, whole = self.start, []
@@ -151,13 +195,7 @@ class Lexicon:
             whole += [self.stems[n] for n, edits in self.members[state] if edits == 0 and n in self.stems]
         near = [(edits, self.ends[n]) for n, edits in self.members[state] if n in self.ends]
         whole += [term for edits, term in near if edits == 0]
-        if whole:
-            return max(whole, key=lambda t: (self.weights[t], t)), 0
-        near = [(edits, term) for edits, term in near if edits <= edits_for(term)]
-        if not near or word in self.own_words:
-            return None
-        edits, term = min(near)
-        return term, edits
+        return whole, [(edits, term) for edits, term in near if edits]
 
     def hits(self, tokens: list[str]) -> Iterator[tuple[int, str, int]]:
         """Place, term and edits of each hit."""
@@ -320,7 +358,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         .select("word", odds.alias("odds"), surprise.alias("surprise"))
         .filter(F.col("surprise") > math.log(max(2, of_all.tried)))
     )
-    terms = Lexicon({r.word: r.odds for r in told.collect() if r.odds > 0})
+    terms = Lexicon({r.word: r.odds for r in told.collect() if r.odds > 0}, disguised=True)
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,10 +366,10 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             words = [w for w in batch.column(0).to_pylist() if (hit := shared.value.match(w)) and hit[1]]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
 
-    # words within an edit of a term: few, as the terms are
+    # words within the edits of a term: few, as the terms are
     others = counts.filter((F.col("n") - F.col("t") >= MIN_DOCS) & ~F.col("word").endswith("*"))
     own = others.select("word").mapInArrow(near, "word string").collect()
-    return Lexicon(terms.weights, frozenset(r.word for r in own))
+    return Lexicon(terms.weights, frozenset(r.word for r in own), disguised=True)
 
 
 def fit(

@@ -95,3 +95,19 @@ def test_all_terms_beyond_chance_are_kept(spark):
     rude, kind = words[:2_200], words[2_200:4_400]
     rows = spark.createDataFrame([(i % 2, " ".join(rude if i % 2 else kind)) for i in range(40)], "toxic int, text string")
     assert set(X.learn_lexicon(rows).weights) == set(rude)
+
+
+def test_planted_misspellings_of_every_term():
+    """Misspellings written down here, not by ``edits_for``; clean words stay out."""
+    terms = "scum idiot moron loser worthless pathetic disgusting vermin".split()
+    lexicon = pickle.loads(pickle.dumps(X.Lexicon({t: 1.0 for t in terms}, frozenset({"scam"}), disguised=True)))
+    for term in terms:
+        n = len(term)
+        planted = {term + "m", term[:1] + "x" + term[1:], term[:2] + "*" + term[3:], term[: n // 2] + term[n // 2 + 1 :]}
+        planted |= {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(n - 1)}
+        planted |= {term.replace("i", "1").replace("o", "0").replace("e", "3").replace("s", "$")}
+        if n >= 8:
+            planted |= {term[0] + "x" + term[2:-1] + "x", term[:3] + term[5:]}
+        planted -= {term}
+        assert {w: lexicon.match(w) and lexicon.match(w)[0] for w in planted} == dict.fromkeys(planted, term)
+    assert not any(map(lexicon.match, ("scam", "scumming", "105", "item", "path", "minor", "worth", "losses")))
