@@ -26,6 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 from docloom.llm import (  # noqa: E402,F401  each module adds its queries
     alignment_query,
+    attention_query,
+    collocation_query,
     decontamination_query,
     extraction_query,
     jaccard_query,
