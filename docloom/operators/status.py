@@ -7,6 +7,8 @@ that holds a large part of all events does not gather in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +65,41 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def current_state(events: DataFrame, counted: bool = False) -> DataFrame:
-    """Latest status, last non-empty step and last error per job. Batch or streaming.
+def current_state(events: DataFrame) -> DataFrame:
+    """Latest status, last non-empty step and last error per job."""
+    return current_fold(events).select("job_id", "status", "step", "error", "last_seq")
+
+
+def current_fold(events: DataFrame, *spans: Column) -> DataFrame:
+    """E3 with the place of each value and the number of events, per job and, in a stream, per span of time.
 
-    ``counted`` adds ``n_events``, by which states of the same job can be told old from new.
+    :func:`merge_folds` puts folds of different events of a job together.
     """
     seq, status = F.col("seq"), F.col("status")
     step = _filled(F.col("step"))
     error = F.coalesce(_filled(F.col("error")), F.lit(DEFAULT_ERROR))
-    return events.groupBy("job_id").agg(
+    has_step, has_error = F.when(step.isNotNull(), seq), F.when(status == S.FAILED, seq)
+    return events.groupBy("job_id", *spans).agg(
         F.max_by(status, seq).alias("status"),
-        F.max_by(step, F.when(step.isNotNull(), seq)).alias("step"),
-        F.max_by(error, F.when(status == S.FAILED, seq)).alias("error"),
+        F.max_by(step, has_step).alias("step"),
+        F.max(has_step).alias("step_seq"),
+        F.max_by(error, has_error).alias("error"),
+        F.max(has_error).alias("error_seq"),
         F.max(seq).alias("last_seq"),
-        *([F.count(F.lit(1)).alias("n_events")] if counted else []),
+        F.count(F.lit(1)).alias("n_events"),
+    )
+
+
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """One fold a job of folds of different events; merging merged ones gives the same."""
+    return folds.groupBy("job_id").agg(
+        F.max_by("status", "last_seq").alias("status"),
+        F.max_by("step", "step_seq").alias("step"),
+        F.max("step_seq").alias("step_seq"),
+        F.max_by("error", "error_seq").alias("error"),
+        F.max("error_seq").alias("error_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.sum("n_events").alias("n_events"),
     )
 
 
@@ -190,6 +213,13 @@ def merge_changes(changes: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a change row.
+CHANGE_COLUMNS = (
+    "job_id", "status", "status_seq", "updated_at", "current_step", "step_seq", "error", "error_seq", "elapsed_ms",
+    "completed_at", "completed_seq",
+)
+
+
 def job_changes(events: DataFrame) -> DataFrame:
     """What the events of each job do to its row, one row per job.
 
@@ -199,23 +229,34 @@ def job_changes(events: DataFrame) -> DataFrame:
     return merge_changes(_as_changes(events))
 
 
+#: Which place tells whether a change wrote a column of a job row.
+_WRITTEN_BY = {
+    "status": "status_seq",
+    "updated_at": "status_seq",
+    "current_step": "step_seq",
+    "error": "error_seq",
+    "elapsed_ms": "completed_seq",
+    "completed_at": "completed_seq",
+}
+
+
 def apply_changes(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     """Job rows after ``changes``. A change to an unknown job has no effect."""
-    c = changes.select(F.col("job_id"), *[F.col(n).alias(f"new_{n}") for n in changes.columns[1:]])
-    joined = jobs.join(c, "job_id", "left")
-
-    def written(name: str, seq: str) -> Column:
-        return F.when(F.col(f"new_{seq}").isNotNull(), F.col(f"new_{name}")).otherwise(F.col(name))
-
-    updates = {
-        "status": written("status", "status_seq"),
-        "updated_at": written("updated_at", "status_seq"),
-        "current_step": written("current_step", "step_seq"),
-        "error": written("error", "error_seq"),
-        "elapsed_ms": written("elapsed_ms", "completed_seq"),
-        "completed_at": written("completed_at", "completed_seq"),
-    }
-    return joined.select(*[updates[n].alias(n) if n in updates else n for n in jobs.columns])
+    return _apply(jobs, changes, lambda seq: F.col(f"new_{seq}").isNotNull())
+
+
+def apply_newer(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """The same for rows that carry the places of what wrote them: of each column the later write stays."""
+    later = lambda seq: F.col(f"new_{seq}").isNotNull() & (F.col(seq).isNull() | (F.col(f"new_{seq}") > F.col(seq)))
+    return _apply(rows, changes, later)
+
+
+def _apply(rows: DataFrame, changes: DataFrame, written: Callable[[str], Column]) -> DataFrame:
+    c = changes.select(F.col("job_id"), *[F.col(n).alias(f"new_{n}") for n in changes.columns if n != "job_id"])
+    by = _WRITTEN_BY | {seq: seq for seq in set(_WRITTEN_BY.values())}
+    return rows.join(c, "job_id", "left").select(
+        *[F.when(written(by[n]), F.col(f"new_{n}")).otherwise(F.col(n)).alias(n) if n in by else n for n in rows.columns]
+    )
 
 
 def upsert_jobs(jobs: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
+from docloom.functions.times import epoch_micros
 from docloom.operators import admission, status
 from docloom.plans import document_queries as docs
 from docloom.plans import sql_parts as P
 from docloom.plans.registry import query
+from docloom.plans.report_queries import CUTOFF_SECONDS, STUCK_SQL
 from docloom.plans.views import view
 from docloom.session import shared_dir
 from docloom.sources import files as file_source
 from docloom.sources import sinks
+from docloom.sources.job_table import JobTable
+from docloom.sources.keyed import KeyedTable, save_keyed
 from docloom.streaming import queries as streams
 
 BYTES_PER_TRIGGER = 64 << 20  # what a micro-batch of a landed input takes in
+KEYED_PARTS = 16  # folders of a table that micro-batches look up; a large corpus takes thousands
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -34,11 +39,9 @@ def _opened(spark, path: str, rows: DataFrame) -> DataFrame:
     return file_source.event_stream(spark, path, schema=rows.schema, bytes_per_trigger=BYTES_PER_TRIGGER)
 
 
-def _stored(spark, rows: DataFrame, purpose: str) -> DataFrame:
-    """``rows`` written as a table, so that no micro-batch computes them again."""
-    path = shared_dir(spark, purpose)
-    sinks.append(rows, path)
-    return spark.read.schema(rows.schema).parquet(path)
+def _keyed(spark, rows: DataFrame, key: str, purpose: str) -> KeyedTable:
+    """``rows`` written by a hash of their key, so that a micro-batch reads the part it asks for."""
+    return save_keyed(rows, shared_dir(spark, purpose), key, KEYED_PARTS)
 
 
 def _finish(query) -> None:
@@ -124,24 +127,28 @@ def job_channel(spark, sf_dir):
     return status.subscribed(events, failing).select("channel", "job_id", "seq", "status", "step")
 
 
-@query(
-    "snapshot_tail",
-    """with snaps as (select job_id, arg_min(status, seq) as status,
+_SNAPSHOT_TAIL = """with snaps as (select job_id, arg_min(status, seq) as status,
     arg_min(struct_pack(s := coalesce(step, '')), seq).s as step from status_events group by job_id),
 seen as (select job_id, -1 as seq, status, step, null as error from snaps
   union all select job_id, seq, status, step, error from status_events),
 ends as (select job_id, min(seq) as closed_at from seen where status in ('completed', 'failed') group by job_id)
 select s.job_id, s.seq, s.status, s.step, s.error from seen s left join ends e on e.job_id = s.job_id
-where e.closed_at is null or s.seq <= e.closed_at""",
-)
-def snapshot_tail(spark, sf_dir):
-    """Each job seen from its first event on: that state as snapshot, then all its events."""
-    events = _events(spark, sf_dir)
+where e.closed_at is null or s.seq <= e.closed_at"""
+
+
+def _opening_states(events: DataFrame) -> DataFrame:
+    """The state of each job at its first event."""
     opening = F.min_by(F.struct("status", "step"), "seq")
-    stored = events.groupBy("job_id").agg(opening.alias("s")).select(
+    return events.groupBy("job_id").agg(opening.alias("s")).select(
         "job_id", "s.status", F.coalesce("s.step", F.lit("")).alias("step")
     )
-    return status.snapshot_then_tail(stored, events).select("job_id", "seq", "status", "step", "error")
+
+
+@query("snapshot_tail", _SNAPSHOT_TAIL)
+def snapshot_tail(spark, sf_dir):
+    """Each job seen from its first event on: that state as snapshot, then all its events."""
+    events = _events(spark, sf_dir)
+    return status.snapshot_then_tail(_opening_states(events), events).select("job_id", "seq", "status", "step", "error")
 
 
 _UPSERT = """with f as (select job_id, arg_max(status, seq) as status, arg_max(ts, seq) as updated_at,
@@ -220,8 +227,8 @@ def _run_jobs(spark, sf_dir) -> DataFrame:
     messages = admission.queue_messages(converted)
     landed = _landed(spark, messages, "queue")
     out = shared_dir(spark, "results")
-    static = _stored(spark, converted.drop("job_id", "filename", "created_at"), "converted")
-    answers = _stored(spark, view(spark, sf_dir, "llm"), "answers")
+    static = _keyed(spark, converted.drop("job_id", "filename", "created_at"), "file_key", "converted")
+    answers = _keyed(spark, view(spark, sf_dir, "llm"), "doc_id", "answers")
     _finish(streams.run_jobs(landed, static, answers, out, shared_dir(spark, "checkpoint")))
     return spark.read.parquet(out)
 
@@ -238,24 +245,32 @@ def stream_results(spark, sf_dir):
 
 @query(
     "stream_jobs",
-    """select cast(j.job_id as varchar) as job_id, j.filename,
-  case when o.file_key is null then 'failed' else 'completed' end as status,
-  case when o.file_key is null then 'OCR' else 'Validate JSON' end as current_step,
-  case when o.file_key is null then concat('Storage download failed: ', j.file_key) end as error,
-  o.file_key is not null as has_elapsed, o.file_key is not null as has_completed_at
-from jobs j left join objects o on o.file_key = j.file_key""",
+    """select cast(job_id as varchar) as job_id, filename, case when error is null then 'completed' else 'failed' end as status,
+  case when error is null then 'Validate JSON' else 'OCR' end as current_step, error,
+  error is null as has_elapsed, error is null as has_completed_at
+from (select j.job_id, j.filename, case when o.file_key is null then concat('Storage download failed: ', j.file_key)
+    when j.job_id % 11 = 4 then concat('ValueError: page ', cast(j.job_id as varchar), ' is broken') end as error
+  from jobs j left join objects o on o.file_key = j.file_key) e""",
 )
 def stream_jobs(spark, sf_dir):
-    """Queue to job table: all jobs run as a stream, their events folded into their rows."""
+    """Queue to job table: all jobs run as a stream, their events folded into their rows. Documents that are
+    missing or cannot be converted fail with their error, all others finish."""
     stored = view(spark, sf_dir, "objects").select("file_key")
-    every = docs.converted(spark, sf_dir)
+    broken = F.col("doc_id") % 11 == 4
+    every = docs.converted(spark, sf_dir).withColumns(
+        {
+            "error_type": F.when(broken, "ValueError"),
+            "error_message": F.when(broken, F.concat(F.lit("page "), F.col("doc_id").cast("string"), F.lit(" is broken"))),
+        }
+    )
     registered = view(spark, sf_dir, "jobs").select(
         F.col("job_id").cast("string").alias("job_id"), "filename", "file_key"
     )
     landed = _landed(spark, admission.queue_messages(registered), "queue")
     out, events_out = shared_dir(spark, "results"), shared_dir(spark, "events")
     held = every.drop("job_id", "filename", "created_at").join(stored, "file_key", "left_semi")
-    static, answers = _stored(spark, held, "converted"), _stored(spark, view(spark, sf_dir, "llm"), "answers")
+    static = _keyed(spark, held, "file_key", "converted")
+    answers = _keyed(spark, view(spark, sf_dir, "llm"), "doc_id", "answers")
     checkpoint = shared_dir(spark, "checkpoint")
     _finish(streams.run_jobs(landed, static, answers, out, checkpoint, events_out))
     events = streams.ordered(spark.read.parquet(events_out))
@@ -286,17 +301,53 @@ def stream_current(spark, sf_dir):
     landed = _landed(spark, _events(spark, sf_dir), "events")
     out = shared_dir(spark, "states")
     _finish(streams.follow_state(landed, out, shared_dir(spark, "checkpoint")))
-    return sinks.latest_states(spark.read.parquet(out)).drop("n_events")
+    return sinks.latest_states(spark.read.parquet(out)).select("job_id", "status", "step", "error", "last_seq")
 
 
 @query("stream_terminal_cut", _CUT_SQL)
 def stream_terminal_cut(spark, sf_dir):
     landed = _landed(spark, _events(spark, sf_dir), "events")
-    out, closed = shared_dir(spark, "passed"), shared_dir(spark, "closed")
-    _finish(streams.follow_until_closed(landed, out, closed, shared_dir(spark, "checkpoint")))
-    passed = spark.read.parquet(out)
-    closings = streams.read_closings(spark, closed)
-    return streams.read_until_closed(passed, closings).select(*_EVENT_COLUMNS)
+    out = shared_dir(spark, "passed")
+    _finish(streams.follow_until_closed(landed, out, shared_dir(spark, "checkpoint")))
+    return streams.read_until_closed(spark.read.parquet(out)).select(*_EVENT_COLUMNS)
+
+
+@query("stream_snapshot_tail", _SNAPSHOT_TAIL)
+def stream_snapshot_tail(spark, sf_dir):
+    """The streaming form of ``snapshot_tail``."""
+    events = _events(spark, sf_dir)
+    landed = _landed(spark, events, "events")
+    path = shared_dir(spark, "snapshots")
+    sinks.append(_opening_states(events), path)
+    out = shared_dir(spark, "seen")
+    _finish(streams.follow_snapshot_tail(spark.read.parquet(path), landed, out, shared_dir(spark, "checkpoint")))
+    return streams.read_snapshot_tail(spark.read.parquet(out)).select("job_id", "seq", "status", "step", "error")
+
+
+@query("stream_stuck_jobs", STUCK_SQL)
+def stream_stuck_jobs(spark, sf_dir):
+    """The streaming form of ``stuck_jobs``: jobs told to be silent, as of the newest event."""
+    events = _events(spark, sf_dir)
+    landed = _landed(spark, events, "events")
+    out = shared_dir(spark, "silence")
+    _finish(streams.follow_silence(landed, out, shared_dir(spark, "checkpoint"), CUTOFF_SECONDS))
+    newest = events.agg(F.max(epoch_micros(events, "ts"))).first()[0] or 0
+    return streams.read_silence(spark.read.parquet(out), CUTOFF_SECONDS, F.lit(newest))
+
+
+@query("job_table", _UPSERT)
+def job_table(spark, sf_dir):
+    """Job rows of a table that the stream adds deltas to: the first half folded in, the rest on top."""
+    events = _events(spark, sf_dir)
+    jobs = view(spark, sf_dir, "event_jobs")
+    table = JobTable(shared_dir(spark, "job-table"), KEYED_PARTS, jobs.schema)
+    table.create(jobs)
+    path, checkpoint = shared_dir(spark, "events"), shared_dir(spark, "checkpoint")
+    middle = (events.agg(F.max("seq")).first()[0] or 0) // 2
+    for part, fold_every in ((F.col("seq") <= middle, 1), (F.col("seq") > middle, 1000)):
+        sinks.append(events.filter(part), path)
+        _finish(streams.follow_into_table(_opened(spark, path, events), table, checkpoint, fold_every=fold_every))
+    return table.read(spark)
 
 
 @query("replay_idempotent", _UPSERT)
@@ -323,15 +374,15 @@ def replay_rebatched(spark, sf_dir):
     landed, and all read again in other batches."""
     events = _events(spark, sf_dir)
     path = shared_dir(spark, "events")
-    states, passed, closed = (shared_dir(spark, p) for p in ("states", "passed", "closed"))
-    middle = events.agg(F.max("seq")).first()[0] // 2
+    states, passed = (shared_dir(spark, p) for p in ("states", "passed"))
+    middle = (events.agg(F.max("seq")).first()[0] or 0) // 2
     for part in (F.col("seq") <= middle, F.col("seq") > middle):
         sinks.append(events.filter(part), path)
-        for start, outs in ((streams.follow_state, (states,)), (streams.follow_until_closed, (passed, closed))):
-            _finish(start(_opened(spark, path, events), *outs, shared_dir(spark, "checkpoint")))
+        for start, out in ((streams.follow_state, states), (streams.follow_until_closed, passed)):
+            _finish(start(_opened(spark, path, events), out, shared_dir(spark, "checkpoint")))
     columns = ("job_id", "seq", "status", "step", "error")
     known = sinks.latest_states(spark.read.parquet(states)).withColumnRenamed("last_seq", "seq")
-    cut = streams.read_until_closed(spark.read.parquet(passed), streams.read_closings(spark, closed))
+    cut = streams.read_until_closed(spark.read.parquet(passed))
     return known.select(F.lit("state").alias("kind"), *columns).unionByName(
         cut.select(F.lit("passed").alias("kind"), *columns)
     )

@@ -9,20 +9,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from docloom.functions.times import epoch_micros
 from docloom.operators import admission, results, status
 from docloom.sources import sinks
+from docloom.sources.job_table import JobTable
+from docloom.sources.keyed import KeyedTable
+from docloom.streaming import processors
 
-#: Folders that closings are hashed into, so that a batch reads a part of them.
-CLOSING_FOLDERS = 64
-
-CLOSINGS = T.StructType(
-    [T.StructField("job_id", T.StringType()), T.StructField("closed_at", T.LongType())]
-)
+_UNITS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
 def _start(
@@ -40,10 +38,17 @@ def _start(
     return writer.foreachBatch(lambda batch, batch_id: write(batch, batch_id, generation)).start()
 
 
+def _matching(table: DataFrame | KeyedTable, keys: DataFrame) -> DataFrame:
+    """Rows of a static table whose key stands in the one column of ``keys``."""
+    if isinstance(table, KeyedTable):
+        return table.matching(keys)
+    return table.join(keys, keys.columns[0], "left_semi")
+
+
 def run_jobs(
     messages: DataFrame,
-    converted: DataFrame,
-    responses: DataFrame,
+    converted: DataFrame | KeyedTable,
+    responses: DataFrame | KeyedTable,
     out: str,
     checkpoint: str,
     events_out: str | None = None,
@@ -51,9 +56,10 @@ def run_jobs(
 ) -> StreamingQuery:
     """Queued jobs to result records, a micro-batch at a time.
 
-    ``converted(file_key, doc_id, text, tables, confidence)`` and ``responses`` are static tables; a
-    batch takes from them only the rows of its own keys before anything is parsed. ``converted`` may
-    carry ``error_type`` and ``error_message``: a document that has them could not be converted, and
+    ``converted(file_key, doc_id, text, tables, confidence)``, keyed by ``file_key``, and ``responses``,
+    keyed by ``doc_id``, are static tables. Written by :func:`docloom.sources.keyed.save_keyed`, a batch
+    opens only the folders its own keys hash to; of other tables it takes the rows of its own keys, which
+    scans them whole in every batch. Nothing is parsed before. ``converted`` may carry ``error_type`` and ``error_message``: a document that has them could not be converted, and
     its job fails with both (R6) while all others finish. With ``events_out``, also the status events
     (E2): 18 for each job with a result, start and failure for each job whose object is missing (S6)
     or broken. They are made from the stored results, so nothing is computed twice. Their times are
@@ -65,10 +71,10 @@ def run_jobs(
         began = time.time()
         # A job queued twice in one batch is done once.
         jobs = admission.default_names(batch).dropDuplicates(["job_id"])
-        mine = converted.join(jobs.select("file_key"), "file_key", "left_semi")
-        broken = F.col("error_type").isNotNull() if "error_type" in converted.columns else F.lit(False)
+        mine = _matching(converted, jobs.select("file_key"))
+        broken = F.col("error_type").isNotNull() if "error_type" in mine.columns else F.lit(False)
         readable = mine.filter(~broken).drop("error_type", "error_message")
-        answers = responses.join(readable.select("doc_id"), "doc_id", "left_semi")
+        answers = _matching(responses, readable.select("doc_id"))
         records = results.build(jobs.join(readable, "file_key"), answers)
         timed = records.withColumn("elapsed_s", F.round(F.lit(time.time() - began), 2))
         sinks.save_batch(timed, out, batch_id, generation)
@@ -85,7 +91,7 @@ def run_jobs(
         done = results.emit_events(stored.withColumns(times))
         lost = admission.attach_files(jobs.join(mine, "file_key", "left_anti"), mine.select("file_key").limit(0))
         failed = lost.select("job_id", "error")
-        if "error_type" in converted.columns:
+        if "error_type" in mine.columns:
             said = results.error_text(F.col("error_type"), F.col("error_message")).alias("error")
             failed = failed.unionByName(jobs.join(mine.filter(broken), "file_key").select("job_id", said))
         events = done.unionByName(results.emit_failures(failed.withColumns(times)))
@@ -103,15 +109,28 @@ def ordered(events: DataFrame) -> DataFrame:
 
 
 def follow_state(
-    events: DataFrame, out: str, checkpoint: str, once: bool = True
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    once: bool = True,
+    delay: str = "1 day",
+    window: str = "7 days",
 ) -> StreamingQuery:
-    """E3 as a stateful aggregation: each batch writes the jobs whose state changed.
+    """E3 as a stateful aggregation whose state ends: each batch writes the folds that changed.
 
-    Read with :func:`sinks.latest_states`; :func:`sinks.compact` folds old batches into one.
+    ``events`` carries ``ts``. An event that comes again within ``delay`` is counted once. Folds are kept by job
+    and ``window`` of time; when the watermark, ``delay`` behind the newest event, has passed a window, its
+    folds leave the state, and events older than that are dropped as late. All of it is done by Spark's own
+    operators, which combine before they shuffle. Read with :func:`sinks.latest_states`, which merges a job's
+    windows; :func:`sinks.compact` folds old batches into one.
     """
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+    once_each = timed.dropDuplicatesWithinWatermark(["job_id", "seq"])
     return _start(
-        status.current_state(events, counted=True),
-        lambda batch, batch_id, generation: sinks.save_batch(batch, out, batch_id, generation),
+        status.current_fold(once_each, F.window("at", window).alias("span")),
+        lambda batch, batch_id, generation: sinks.save_batch(
+            batch.withColumn("span", F.col("span.start")), out, batch_id, generation
+        ),
         checkpoint,
         once,
         mode="update",
@@ -134,47 +153,137 @@ def follow_changes(
     )
 
 
+def follow_into_table(
+    events: DataFrame, table: JobTable, checkpoint: str, once: bool = True, fold_every: int = 10
+) -> StreamingQuery:
+    """Each batch adds its changes to a job table, and every ``fold_every`` batches they are folded in. Run
+    one stream for a table, since folds replace files."""
+
+    def write(batch: DataFrame, batch_id: int, generation: int) -> None:
+        table.add(status.job_changes(batch), batch_id, generation)
+        if (batch_id + 1) % fold_every == 0:
+            table.fold(batch.sparkSession)
+
+    return _start(events, write, checkpoint, once)
+
+
 def follow_until_closed(
-    events: DataFrame, out: str, closed: str, checkpoint: str, once: bool = True
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    once: bool = True,
+    delay: str = "1 day",
+    keep: str = "7 days",
+    salts: int = 1,
 ) -> StreamingQuery:
     """E5: pass events on until their job's first terminal event.
 
-    Closings go to ``closed``, hashed by job into ``CLOSING_FOLDERS`` folders; each batch looks up
-    those of its own jobs, and reads only the folders that its jobs hash to. They are aggregated
-    before any shuffle, so unlike a per-job state function no task takes in all events of one busy
-    job. Batches may bring events out of order: :func:`read_until_closed` applies the final closings
-    to what was passed on.
+    ``events`` carries ``ts``. The state holds one number for each closed job and forgets it ``keep`` after the
+    closing, so a batch's work follows its own events. Events that are ``delay`` older than the newest are dropped
+    as late. With ``salts`` above one, the events of a job are dealt over as many groups and each terminal event
+    is shown to all of them, for streams in which one job may hold a large part of all events. Batches may bring
+    events out of order: :func:`read_until_closed` cuts what was passed on once more.
     """
+    own = F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int")
+    shown = F.when(status.is_terminal(F.col("status")), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(own))
+    if salts == 1:
+        dealt = events.withColumns({"salt": F.lit(0), "is_own": F.lit(True)})
+    else:
+        dealt = events.withColumn("salt", F.explode(shown)).withColumn("is_own", F.col("salt") == own)
+    groups = _timed(dealt, delay).groupBy("job_id", "salt")
+    passed = groups.transformWithState(
+        processors.UntilClosed(events.columns, milliseconds(keep)), events.schema, "append", "eventTime"
+    )
+    return _start(passed, _saved_to(out), checkpoint, once)
+
+
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    """Events with their time as ``at`` under a watermark and as ``at_ms``, for a state that ends."""
+    processors.use_rocksdb(events.sparkSession)
+    at = epoch_micros(events, "ts")
+    timed = events.withColumns({"at": F.timestamp_micros(at), "at_ms": F.floor(at / 1000).cast("bigint")})
+    return timed.withWatermark("at", delay)
 
-    def write(batch: DataFrame, batch_id: int, generation: int) -> None:
-        spark = batch.sparkSession
-        own = status.closings(batch).withColumn("folder", folder)
-        sinks.save_batch_by(own, closed, batch_id, generation, "folder")
-        # at most one row a job goes on; the folders of the batch are few numbers
-        mine = batch.select("job_id", folder.alias("folder")).distinct()
-        folders = [r.folder for r in mine.select("folder").distinct().collect()]
-        known = (
-            read_closings(spark, closed)
-            .filter(F.col("folder").isin(folders))
-            .join(mine.select("job_id"), "job_id", "left_semi")
-            .groupBy("job_id")
-            .agg(F.min("closed_at").alias("closed_at"))
-        )
-        sinks.save_batch(status.cut_at(batch, known), out, batch_id, generation)
-
-    folder = F.pmod(F.xxhash64("job_id"), F.lit(CLOSING_FOLDERS)).cast("int")
-    return _start(events, write, checkpoint, once)
 
+def _saved_to(out: str) -> Callable[[DataFrame, int, int], None]:
+    return lambda batch, batch_id, generation: sinks.save_batch(batch, out, batch_id, generation)
 
-def read_closings(spark: SparkSession, closed: str) -> DataFrame:
-    """All closings so far, by job hash, generation and batch."""
-    places = [T.StructField(n, k) for n, k in (("generation", T.LongType()), ("batch_id", T.LongType()), ("folder", T.IntegerType()))]
-    schema = T.StructType([*CLOSINGS.fields, *places])
-    return spark.read.schema(schema).option("basePath", closed).parquet(closed)
 
+def milliseconds(interval: str) -> int:
+    """Milliseconds of an interval like ``7 days``, ``90 minutes`` or ``1 hour 30 seconds``."""
+    words = interval.split()
+    if not words or len(words) % 2:
+        raise ValueError(f"no interval: {interval}")
+    return sum(int(float(n) * _UNITS[unit.rstrip("s")]) for n, unit in zip(words[::2], words[1::2], strict=True))
 
-def read_until_closed(passed: DataFrame, closings: DataFrame) -> DataFrame:
-    """E5: what :func:`follow_until_closed` passed on, once each, cut at the closings known by now."""
-    final = closings.groupBy("job_id").agg(F.min("closed_at").alias("closed_at"))
+
+def read_until_closed(passed: DataFrame) -> DataFrame:
+    """E5: what :func:`follow_until_closed` passed on, once each, cut at the closings known by now. An event
+    that closes a job earlier than was known is always passed on, so the events themselves tell."""
     once = passed.drop("generation", "batch_id").dropDuplicates(["job_id", "seq"])
-    return status.cut_at(once, final)
+    return status.terminal_cut(once)
+
+
+def follow_snapshot_tail(
+    snapshots: DataFrame,
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    once: bool = True,
+    delay: str = "1 day",
+    keep: str = "7 days",
+) -> StreamingQuery:
+    """What the viewers of all jobs see: each job's stored state, then its events until it ends.
+
+    ``snapshots(job_id, status, step)`` has a row for each job and is read when the stream first starts, after
+    the events are subscribed to; so a state may be older than the first event and seen twice, never missed. It
+    becomes the first state of the stream and is sent before a job's first event, or by a timer if there is
+    none. A job without a snapshot has its events only. ``delay`` and ``keep`` as in :func:`follow_until_closed`.
+    Read with :func:`read_snapshot_tail`.
+    """
+    groups = _timed(events.withColumn("is_own", F.lit(True)), delay).groupBy("job_id")
+    tail = groups.transformWithState(
+        processors.SnapshotTail(events.columns, milliseconds(keep)),
+        events.schema,
+        "append",
+        "eventTime",
+        initialState=snapshots.select("job_id", "status", "step").groupBy("job_id"),
+    )
+    return _start(tail, _saved_to(out), checkpoint, once)
+
+
+def read_snapshot_tail(seen: DataFrame) -> DataFrame:
+    """What :func:`follow_snapshot_tail` sent, once each, cut at the first terminal message of each job."""
+    return read_until_closed(seen)
+
+
+def follow_silence(
+    events: DataFrame, out: str, checkpoint: str, cutoff_seconds: int, once: bool = True, delay: str = "1 hour"
+) -> StreamingQuery:
+    """X4 while it happens: a row for each job that falls silent for ``cutoff_seconds`` before it has ended, and
+    one when it goes on. ``events`` carries ``ts`` and may come late by ``delay``, no more than the cutoff.
+
+    The state of an ended job goes ``cutoff_seconds`` after its newest event. Read with :func:`read_silence`.
+    """
+    delay_ms = milliseconds(delay)
+    if delay_ms > cutoff_seconds * 1000:
+        raise ValueError("the delay must not exceed the cutoff")
+    timed = _timed(events, delay).select("job_id", "seq", "status", "at", epoch_micros(events, "ts").alias("at_us"))
+    told = timed.groupBy("job_id").transformWithState(
+        processors.Silence(cutoff_seconds * 1000, delay_ms),
+        "job_id string, status string, seq long, last_at long, stuck boolean",
+        "append",
+        "eventTime",
+    )
+    return _start(told, _saved_to(out), checkpoint, once)
+
+
+def read_silence(told: DataFrame, cutoff_seconds: int, now: Column) -> DataFrame:
+    """The jobs that are silent as of ``now`` (epoch microseconds), as ``reports.stuck_jobs`` gives them."""
+    last = told.groupBy("job_id").agg(
+        F.max_by(F.struct("status", "last_at", "stuck"), F.struct("last_at", "seq", "stuck")).alias("last")
+    )
+    idle = now - F.col("last.last_at")
+    return last.filter(F.col("last.stuck") & (idle >= cutoff_seconds * 1_000_000)).select(
+        "job_id", "last.status", F.floor(idle / 1_000_000).cast("bigint").alias("idle_s")
+    )

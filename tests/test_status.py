@@ -281,28 +281,18 @@ def test_stream_state_equals_batch(spark, events, tmp_path):
 
 def test_states_and_cut_survive_a_lost_checkpoint(spark, events, tmp_path):
     """Three batches, then the checkpoint is lost, one more event lands, and all is one batch."""
-    path, out, passed, closed = (str(tmp_path / n) for n in ("in", "out", "passed", "closed"))
+    path, out, passed = (str(tmp_path / n) for n in ("in", "out", "passed"))
     first = events.filter("seq < 900")
     for n, stream in enumerate((landed(spark, first, path), landed(spark, events.filter("seq >= 900"), path))):
         if n:
             stream = files.event_stream(spark, path, schema=events.schema)
         run(streams.follow_state(stream, out, str(tmp_path / f"cp-a{n}")))
-        run(streams.follow_until_closed(stream, passed, closed, str(tmp_path / f"cp-b{n}")))
+        run(streams.follow_until_closed(stream, passed, str(tmp_path / f"cp-b{n}")))
     assert states(sinks.latest_states(spark.read.parquet(out))) == slow_states()
-    got = streams.read_until_closed(spark.read.parquet(passed), streams.read_closings(spark, closed))
+    got = streams.read_until_closed(spark.read.parquet(passed))
     assert sorted((r.job_id, r.seq) for r in got.collect()) == sorted(slow_cut())
 
 
-def test_stream_cut_equals_batch(spark, events, tmp_path):
-    stream = landed(spark, events, str(tmp_path / "in"))
-    out, closed = str(tmp_path / "out"), str(tmp_path / "closed")
-    run(streams.follow_until_closed(stream, out, closed, str(tmp_path / "cp")))
-    closings = streams.read_closings(spark, closed)
-    got = streams.read_until_closed(spark.read.parquet(out), closings)
-    assert {(r.job_id, r.seq) for r in got.collect()} == slow_cut()
-    assert got.count() == len(slow_cut())
-
-
 def test_stream_goes_on_after_a_restart(spark, events, tmp_path):
     """Files that land after the query ended are read by the next run, the others are not."""
     path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
