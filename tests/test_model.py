@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import model
@@ -201,3 +202,66 @@ def test_slices_go_on_and_failed_calls_are_asked_again(spark, tmp_path):
     third = enrichment.respond_in_slices(requests, factory, out, slices=3, max_attempts=2)
     assert {r.response for r in third.collect()} == {f"answer {i}" for i in range(12)}
     assert len(list(calls.iterdir())) == 24
+
+
+def test_calls_in_flight_are_bounded_and_in_order(spark, tmp_path):
+    """A slow client with some failing calls: answers in the order of requests, never more calls at once."""
+    folder = str(tmp_path)
+
+    def factory():
+        import threading
+        import time
+        import uuid
+
+        lock, state = threading.Lock(), {"now": 0, "most": 0, "tries": {}}
+
+        def client(body):
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+                tries = state["tries"][body] = state["tries"].get(body, 0) + 1
+            time.sleep(0.05 if int(body) % 5 else 0.15)
+            with lock:
+                state["now"] -= 1
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                    out.write(f"{body} {state['most']}")
+            if int(body) % 7 == 3 and (tries < 3 or int(body) == 10):
+                raise TimeoutError
+            return f"answer {body}"
+
+        return client
+
+    requests = spark.range(40).coalesce(1).selectExpr("id as doc_id", "cast(id as string) as request")
+    rows = enrichment.respond(requests, factory, in_flight=4, attempts=3, back_off_s=0.01).collect()
+    assert [r.doc_id for r in rows] == list(range(40))
+    assert {r.doc_id: r.response for r in rows} == {i: None if i == 10 else f"answer {i}" for i in range(40)}
+    calls = [f.read_text().split() for f in tmp_path.iterdir()]
+    tries = {i: sum(int(b) == i for b, _ in calls) for i in range(40)}
+    assert tries == {i: 3 if i % 7 == 3 else 1 for i in range(40)}
+    assert 2 <= max(int(most) for _, most in calls) <= 4
+    with pytest.raises(ValueError):
+        enrichment.respond(requests, factory, in_flight=0)
+
+
+def test_slices_write_requests_once(spark, tmp_path):
+    """Requests are computed in one job, whatever the slices and rounds; later ones are added."""
+    out = str(tmp_path / "out")
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(i):
+        computed.add(1)
+        return str(i)
+
+    def factory():
+        def client(body):
+            raise TimeoutError
+
+        return client
+
+    requests = spark.range(20).select(F.col("id").alias("doc_id"), body("id").alias("request"))
+    got = enrichment.respond_in_slices(requests, factory, out, slices=4, max_attempts=3, in_flight=2)
+    assert got.count() == 20 and computed.value == 20
+    more = spark.range(25).selectExpr("id as doc_id", "cast(id as string) as request")
+    got = enrichment.respond_in_slices(more, lambda: lambda body: body, out, slices=4, max_attempts=2)
+    assert {r.doc_id: r.response for r in got.collect()} == {i: str(i) for i in range(25)}
