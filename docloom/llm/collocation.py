@@ -1,14 +1,18 @@
 """Phrase collocations by SETM: occurrence relations, joined with themselves place by place.
 
-Texts are cut into pieces and words, and the words dealt into blocks of ``block_words``. The first relation has
-a row for each block: the sorted places of its words, and at each place the word's number in the block. A place
-is left out where a piece ends, so neighbours in a piece are places one apart, and nothing is joined across.
+Texts are cut into pieces and words, and the words dealt into blocks of ``block_words``. A relation has a row for
+each block: the sorted places at which a frequent phrase of its length begins, and which phrase it is. A place is
+left out where a piece ends, so neighbours in a piece are places one apart, and nothing is joined across.
 
-Each round counts and extends. A block's distinct phrases with their counts go to a table of their own, which is
-grouped into corpus counts; phrases seen ``min_count`` times are frequent. The block's rows are semi-joined with
-these, and what is left of the relation is merged with itself: two frequent phrases one place apart are a phrase
-one word longer. A relation never leaves its block and is written once a round; what is shuffled are distinct
-phrases of blocks. A phrase, however common, has one row a block, so no key gathers its occurrences.
+Each round merges the relation with itself: two frequent phrases one place apart are a phrase one word longer.
+Each block's distinct ones are counted, and the counts of all blocks grouped by phrase; those seen ``min_count``
+times are frequent. Then the merged relation is semi-joined with these and written for the next round. What is
+shuffled are the distinct phrases of blocks, packed by hash of the phrase; occurrences stay in their blocks,
+and a phrase, however common, is moved once a block.
+
+The semi-join looks a block's phrases up in a broadcast of the frequent ones while these are at most
+``broadcast_phrases``. Beyond, a block's distinct phrases are joined with the table of the frequent ones, and what is
+found goes back to its block.
 
 A long text runs over as many blocks as it takes. A block that ends inside a text borrows the words that phrases
 begun before its end still need; phrases that begin with a borrowed word are the next block's to count.
@@ -24,15 +28,20 @@ UTF-8 byte order comes first. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.shingles import mix
 from docloom.llm.tables import discard, stored
 
 MAX_WORDS = 5
@@ -41,9 +50,13 @@ MIN_COUNT = 100
 KEEP_SHARE = 100
 TOP = 2000
 #: Places of a block: what a task holds at once, in words.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 18
 #: Bytes of a text that are split into words at once.
 PART_BYTES = 1 << 20
+#: Words a task counts before it passes the counts on, and words whose longer phrases go to one bucket.
+COUNTED_WORDS, BUCKET_WORDS = 500_000, 2_000_000
+#: Frequent phrases of one length that are broadcast, at most: ids and, of single words, their letters.
+BROADCAST_PHRASES = 500_000
 NO_LANGUAGE = "und"
 
 #: Ends of pieces become line feeds, tabs blanks, A-Z lower case; all of them are single bytes.
@@ -52,90 +65,72 @@ _BYTES = bytes(
 )
 _END = b"\n"
 
-#: A block's relation: sorted places as ``gaps`` from each to the next and, at each, the ``phrases`` by number in
-#: the block. Places from ``own`` on are borrowed.
-_RELATION = [
-    T.StructField("block", T.LongType()),
-    T.StructField("gaps", T.ArrayType(T.IntegerType())),
-    T.StructField("phrases", T.ArrayType(T.IntegerType())),
-    T.StructField("own", T.IntegerType()),
-]
-_COUNTED = [T.StructField("phrase", T.IntegerType()), T.StructField("n", T.LongType())]
-WORDS = T.StructType([*_RELATION, *_COUNTED, T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType())])
-PHRASES = T.StructType([*_RELATION, *_COUNTED, T.StructField("front", T.LongType()), T.StructField("back", T.LongType())])
-
-
-class _Numbers(dict):
-    """Numbers of words, given when first asked for."""
-
-    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
-        self.lang, self.words = lang, words
+#: A block's relation: sorted places as ``gaps`` from each to the next and, at each, the phrase by number in the
+#: block, of which ``ids`` are the phrases. Places from ``own`` on are borrowed. The lists are packed numbers of
+#: 64 bits, so that a task unpacks one block at a time however many are read at once.
+RELATION = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("gaps", T.BinaryType()),
+        T.StructField("phrases", T.BinaryType()),
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("own", T.IntegerType()),
+    ]
+)
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.words)
-        self.words.append((self.lang, word))
-        return number
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<i8").tobytes(), 1)
 
-class _Block:
-    """Places gathered so far."""
 
-    def __init__(self, number: int):
-        self.number = number
-        self.words: list[tuple[str, bytes]] = [("", b""), ("", _END)]
-        self.of: dict[str, _Numbers] = {}
-        self.parts: list[np.ndarray] = []
-        self.size = 0
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<i8")
 
-    def add(self, lang: str, words: list[bytes]) -> None:
-        of = self.of.get(lang)
-        if of is None:
-            of = self.of[lang] = _Numbers(lang, self.words)
-            of.update({b"": 0, _END: 1})
-        codes = np.fromiter(map(of.__getitem__, words), "i4", len(words))
-        codes = codes[codes > 0]
-        self.parts.append(codes)
-        self.size += len(codes)
 
-    def rows(self, own: int) -> Iterator[pa.RecordBatch]:
-        codes = np.concatenate(self.parts) if self.parts else np.zeros(0, "i4")
-        places = np.flatnonzero(codes > 1).astype("i4")
-        phrases = codes[places] - 2
-        n = np.bincount(phrases[places < own], minlength=len(self.words) - 2)
-        langs, words = zip(*self.words[2:], strict=True) if len(self.words) > 2 else ((), ())
-        more = {"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary())}
-        yield from _rows(self.number, places, phrases, own, n, more, WORDS)
-
-
-def _rows(block, places, phrases, own, n, more: dict[str, pa.Array], schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    """A block's relation as one row, and a row for each of its phrases."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    arrow = pa.schema(
-        [(f.name, pa.list_(pa.int32()) if f.name in ("gaps", "phrases") else kinds[f.dataType.simpleString().replace("bigint", "long")]) for f in schema]
+def _relation_row(block: int, places: np.ndarray, ids: np.ndarray, own: int) -> pa.RecordBatch:
+    """The relation of a block, from the id of the phrase at each place."""
+    own_ids, numbers = np.unique(ids, return_inverse=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block], pa.int64()),
+            *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(places, prepend=0), numbers, own_ids)),
+            pa.array([own], pa.int32()),
+        ],
+        RELATION.names,
     )
 
-    def batch(size: int, have: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([have.get(f.name, pa.nulls(size, f.type)) for f in arrow], schema=arrow)
 
-    def as_list(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32()))
-
-    yield batch(
-        1,
-        {
-            "block": pa.array([block], pa.int64()),
-            "gaps": as_list(np.diff(places, prepend=0)),
-            "phrases": as_list(phrases),
-            "own": pa.array([own], pa.int32()),
-        },
-    )
-    for k in range(0, len(n), 50_000):
-        some = n[k : k + 50_000]
-        have = {name: column.slice(k, len(some)) for name, column in more.items()}
-        have["block"] = pa.array(np.full(len(some), block, "i8"))
-        have["phrase"] = pa.array(np.arange(k, k + len(some), dtype="i4"))
-        have["n"] = pa.array(some.astype("i8"))
-        yield batch(len(some), have)
+@dataclass
+class _Merged:
+    """A block's relation merged with itself: ``places`` and, at each, the ``number`` of a longer phrase; of each
+    number the phrases that it begins and ends with, and its own occurrences."""
+
+    block: int
+    own: int
+    places: np.ndarray
+    number: np.ndarray
+    front: np.ndarray
+    back: np.ndarray
+    n: np.ndarray
+
+
+def _merge(rows: pa.RecordBatch) -> Iterator[_Merged]:
+    for block, gaps, phrases, ids, own in zip(*(rows.column(c) for c in RELATION.names), strict=True):
+        places, phrases, ids = np.cumsum(_unpacked(gaps.as_py())), _unpacked(phrases.as_py()), _unpacked(ids.as_py())
+        own = own.as_py()
+        meet = places[1:] == places[:-1] + 1
+        pairs = phrases[:-1][meet] * max(1, len(ids)) + phrases[1:][meet]
+        places = places[:-1][meet]
+        new, number = np.unique(pairs, return_inverse=True)
+        yield _Merged(
+            block.as_py(),
+            own,
+            places,
+            number,
+            ids[new // max(1, len(ids))],
+            ids[new % max(1, len(ids))],
+            np.bincount(number[places < own], minlength=len(new)),
+        )
 
 
 def split_words(text: bytes | None) -> Iterator[tuple[bytes, int, list[bytes]]]:
@@ -164,91 +159,265 @@ def _next_words(data: bytes, at: int, count: int) -> list[bytes]:
     return out
 
 
-def word_relation(docs: DataFrame, text_column: str, lang_column: str, block_words: int, max_words: int) -> DataFrame:
-    """The relation of words by blocks, and the blocks' words with their counts."""
-    narrow = docs.select(
-        F.coalesce(lang_column, F.lit(NO_LANGUAGE)).cast("string").alias("lang"), F.col(text_column).cast("binary").alias("text")
-    )
+class _Known(dict):
+    """Ids of frequent words; a word that is none has none."""
+
+    def __missing__(self, word: bytes) -> int:
+        return RARE
+
+
+EMPTY, RARE, END = -3, -2, -1
+
+
+class _Numbers(dict):
+    """Numbers of all words of a block, given when first asked for."""
+
+    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
+        super().__init__({b"": EMPTY, _END: END})
+        self.lang, self.words = lang, words
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append((self.lang, word))
+        return number
+
+
+class _Block:
+    """Places gathered so far, and the numbers that words have."""
+
+    def __init__(self, number: int, known: dict[str, _Known] | None):
+        self.number, self.parts, self.size = number, [], 0
+        self.words: list[tuple[str, bytes]] = []
+        self.of = {} if known is None else known
+        self.is_known = known is not None
+
+    def add(self, lang: str, words: list[bytes]) -> None:
+        of = self.of.get(lang)
+        if of is None:
+            of = self.of[lang] = _Known({b"": EMPTY, _END: END}) if self.is_known else _Numbers(lang, self.words)
+        codes = np.fromiter(map(of.__getitem__, words), "i8", len(words))
+        codes = codes[codes > EMPTY]
+        self.parts.append(codes)
+        self.size += len(codes)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([*self.parts, np.zeros(0, "i8")])
+        at = np.flatnonzero(codes >= 0)
+        return at, codes[at]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], block_words: int, max_words: int, known=None) -> Iterator[tuple[_Block, int]]:
+    """Blocks of a task's texts, each with how many of its places are its own."""
+    block = _Block(TaskContext.get().partitionId() << 32, known)
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            lang = lang.as_py()
+            for data, begin, words in split_words(text.as_py()):
+                at = 0
+                while len(words) - at > (room := max(0, block_words - block.size)):
+                    block.add(lang, words[at : at + room])
+                    at += room
+                    if block.size < block_words:  # some were empty
+                        continue
+                    own, seen = block.size, begin + at + sum(map(len, words[:at]))
+                    block.add(lang, _next_words(data, seen, max_words - 1))
+                    yield block, own
+                    block = _Block(block.number + 1, known)
+                block.add(lang, words[at:])
+            block.add(lang, [_END])
+    yield block, block.size
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``lang, word, n`` of all words; each task adds up what it sees, some ``COUNTED_WORDS`` at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, of in counts.items():
+                of.pop(b"", None)
+                of.pop(_END, None)
+                words, n = list(of), list(of.values())
+                for k in range(0, len(words), 50_000):
+                    some = words[k : k + 50_000]
+                    columns = [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(n[k : k + 50_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+            counts.clear()
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        block = _Block(first)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                lang = lang.as_py()
-                for data, begin, words in split_words(text.as_py()):
-                    at = 0
-                    while len(words) - at > (room := max(0, block_words - block.size)):
-                        block.add(lang, words[at : at + room])
-                        at += room
-                        if block.size < block_words:  # some were empty
-                            continue
-                        own, seen = block.size, begin + at + sum(map(len, words[:at]))
-                        block.add(lang, _next_words(data, seen, max_words - 1))
-                        yield from block.rows(own)
-                        block = _Block(block.number + 1)
-                    block.add(lang, words[at:])
-                block.add(lang, [_END])
-        yield from block.rows(block.size)
-
-    return narrow.mapInArrow(deal, WORDS)
-
-
-def _extended(last: bool):
-    """Merges a block's frequent phrases with themselves, one place apart."""
-
-    def run(relation: pa.Table, frequent: pa.Table) -> pa.Table:
-        batches = []
-        if relation.num_rows and frequent.num_rows:
-            row = relation.slice(0, 1)
-            gaps, phrases = (row.column(c).combine_chunks().flatten().to_numpy() for c in ("gaps", "phrases"))
-            places = np.cumsum(gaps)
-            own = row.column("own")[0].as_py()
-            local, ids = (frequent.column(c).to_numpy() for c in ("phrase", "id"))
-            size = int(max(local.max(), phrases.max(initial=0))) + 1
-            id_of = np.full(size, -1, "i8")
-            id_of[local] = ids
-            stays = id_of[phrases] >= 0
-            places, phrases = places[stays], phrases[stays]
-            meet = places[1:] == places[:-1] + 1
-            pairs = phrases[:-1][meet].astype("i8") * size + phrases[1:][meet]
-            places = places[:-1][meet]
-            new, phrases = np.unique(pairs, return_inverse=True)
-            n = np.bincount(phrases[places < own], minlength=len(new))
-            more = {"front": pa.array(id_of[new // size]), "back": pa.array(id_of[new % size])}
-            batches = list(_rows(row.column("block")[0].as_py(), places, phrases, own, n, more, PHRASES))
-            if last:
-                batches = batches[1:]
-        return pa.Table.from_batches(batches, _ARROW_PHRASES)
-
-    return run
-
-
-_ARROW_PHRASES = pa.schema(
+                of = counts.setdefault(lang.as_py(), Counter())
+                for _, _, words in split_words(text.as_py()):
+                    of.update(words)
+            if sum(map(len, counts.values())) > COUNTED_WORDS:
+                yield from flush()
+        yield from flush()
+
+    rows = texts.mapInArrow(count, "lang string, word binary, n long")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("a"))
+
+
+def word_relation(texts: DataFrame, frequent: DataFrame, block_words: int, max_words: int, is_small: bool) -> DataFrame:
+    """The relation of frequent words."""
+    if is_small:
+        rows = frequent.select("lang", "word", "id").toArrow()
+        found: dict[str, dict[bytes, int]] = {}
+        for lang, word, at in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "id")), strict=True):
+            found.setdefault(lang, {b"": EMPTY, _END: END})[word] = at
+        shared = texts.sparkSession.sparkContext.broadcast(found)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = {lang: _Known(of) for lang, of in shared.value.items()}
+            for block, own in _dealt(batches, block_words, max_words, known):
+                yield _relation_row(block.number, *block.places(), own)
+
+        return texts.mapInArrow(deal, RELATION)
+
+    more = (("number", T.LongType()), ("lang", T.StringType()), ("word", T.BinaryType()))
+    words = T.StructType([*RELATION.fields, *(T.StructField(*m) for m in more)])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The relation of all words, by number in the block, and a row for each of these."""
+        for block, own in _dealt(batches, block_words, max_words):
+            row = _relation_row(block.number, *block.places(), own)
+            none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.string(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*row.columns, *none], words.names)
+            numbers = np.arange(len(block.words))
+            for k in range(0, len(numbers), 50_000):
+                some = numbers[k : k + 50_000]
+                langs, spelled = zip(*block.words[k : k + 50_000], strict=True)
+                columns = [
+                    pa.array(np.full(len(some), block.number)),
+                    *(pa.nulls(len(some), pa.binary()) for _ in range(3)),
+                    pa.nulls(len(some), pa.int32()),
+                    pa.array(some, pa.int64()),
+                    pa.array(langs, pa.string()),
+                    pa.array(spelled, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, words.names)
+
+    table = stored(texts.mapInArrow(number, words), "collocation-words")
+    own = table.filter(F.col("word").isNotNull()).select(F.col("block").alias("at"), "number", "lang", "word")
+    found = own.join(frequent.select("id", "lang", "word"), ["lang", "word"]).select("at", "number", "id")
+    relation = table.filter(F.col("word").isNull()).select(*RELATION.names)
+
+    def keep(relation: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not relation.num_rows:
+            return pa.Table.from_batches([], _ARROW_RELATION)
+        row = relation.slice(0, 1).to_pylist()[0]
+        places, number, ids = np.cumsum(_unpacked(row["gaps"])), _unpacked(row["phrases"]), _unpacked(row["ids"])
+        number = ids[number]
+        numbers = frequent.column("number").to_numpy()
+        id_of = np.full(int(max(ids.max(initial=0), numbers.max(initial=0))) + 1, -1, "i8")
+        id_of[numbers] = frequent.column("id").to_numpy()
+        stays = id_of[number] >= 0
+        return pa.Table.from_batches([_relation_row(row["block"], places[stays], id_of[number[stays]], row["own"])])
+
+    return relation.groupBy("block").cogroup(found.groupBy("at")).applyInArrow(keep, RELATION)
+
+
+_ARROW_RELATION = pa.schema(
     [
         ("block", pa.int64()),
-        ("gaps", pa.list_(pa.int32())),
-        ("phrases", pa.list_(pa.int32())),
+        ("gaps", pa.binary()),
+        ("phrases", pa.binary()),
+        ("ids", pa.binary()),
         ("own", pa.int32()),
-        ("phrase", pa.int32()),
-        ("n", pa.int64()),
-        ("front", pa.int64()),
-        ("back", pa.int64()),
     ]
 )
 
 
-def _frequent(table: DataFrame, key: list[str], min_count: int, purpose: str) -> DataFrame:
-    """``id``, the key and the corpus count ``a`` of the frequent phrases of a round's table."""
-    sums = table.filter(F.col("phrase").isNotNull()).groupBy(*key).agg(F.sum("n").alias("a"))
-    found = sums.filter(F.col("a") >= min_count).withColumn("id", F.monotonically_increasing_id())
-    return stored(found, purpose)
+def _bucket_of(front: np.ndarray, back: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        mixed = mix(front.astype("u8") * np.uint64(0x9E3779B97F4A7C15) ^ mix(back.astype("u8")))
+    return (mixed % np.uint64(buckets)).astype("i8")
 
 
-def _in_blocks(table: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
-    """Which of a block's phrases are frequent: the semi-join that the next round begins with."""
-    own = table.filter(F.col("phrase").isNotNull()).select(F.col("block").alias("at"), "phrase", *key)
-    return own.join(frequent.select("id", *key), key).select("at", "phrase", "id")
+def pair_counts(relation: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """``id, front, back, a`` of the frequent phrases that are one word longer than those of ``relation``.
+
+    A block's distinct phrases go to ``buckets`` by hash, packed as lists, and are added up there.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for got in _merge(batch):
+                bucket = _bucket_of(got.front, got.back, buckets)
+                order = np.argsort(bucket, kind="stable")
+                numbers, begins = np.unique(bucket[order], return_index=True)
+                columns = [pa.array(numbers, pa.int64())]
+                for x in (got.front, got.back, got.n):
+                    parts = np.split(x[order], begins[1:]) if len(begins) else []
+                    columns.append(pa.array([_packed(p) for p in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "front", "back", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        front, back, n = (np.concatenate([_unpacked(x.as_py()) for x in rows.column(c)]) for c in ("front", "back", "n"))
+        order = np.lexsort((back, front))
+        front, back = front[order], back[order]
+        first = np.flatnonzero(np.append(True, (front[1:] != front[:-1]) | (back[1:] != back[:-1])))
+        a = np.add.reduceat(n[order], first)
+        some = first[a >= min_count]
+        ids = (rows.column("bucket")[0].as_py() << 32) + np.arange(len(some))
+        return pa.table({"id": ids, "front": front[some], "back": back[some], "a": a[a >= min_count]})
+
+    rows = relation.mapInArrow(count, "bucket long, front binary, back binary, n binary")
+    return rows.groupBy("bucket").applyInArrow(add, "id long, front long, back long, a long")
+
+
+def longer_relation(relation: DataFrame, frequent: DataFrame, is_small: bool) -> DataFrame:
+    """The relation of the ``frequent`` phrases that are one word longer than those of ``relation``."""
+    if is_small:
+        rows = frequent.select("front", "back", "id").toArrow()
+        shared = relation.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("front", "back", "id")))
+
+        def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            front, back, ids = shared.value
+            fronts, backs = np.unique(front), np.unique(back)
+            codes = np.searchsorted(fronts, front) * max(1, len(backs)) + np.searchsorted(backs, back)
+            order = np.argsort(codes)
+            codes, ids = codes[order], ids[order]
+            for batch in batches:
+                for got in _merge(batch):
+                    id_of = np.full(len(got.front), -1, "i8")
+                    if len(codes) and len(id_of):
+                        at_f = np.minimum(np.searchsorted(fronts, got.front), len(fronts) - 1)
+                        at_b = np.minimum(np.searchsorted(backs, got.back), len(backs) - 1)
+                        own = at_f * len(backs) + at_b
+                        at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                        found = (codes[at] == own) & (fronts[at_f] == got.front) & (backs[at_b] == got.back)
+                        id_of[found] = ids[at[found]]
+                    yield _kept(got, id_of)
+
+        return relation.mapInArrow(extend, RELATION)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for got in _merge(batch):
+                for k in range(0, len(got.front), 50_000):
+                    some = slice(k, k + 50_000)
+                    numbers = np.arange(len(got.front))[some]
+                    columns = [np.full(len(numbers), got.block), numbers, got.front[some], got.back[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["at", "number", "front", "back"])
+
+    def keep(relation: pa.Table, frequent: pa.Table) -> pa.Table:
+        for got in itertools.chain.from_iterable(map(_merge, relation.to_batches())):
+            id_of = np.full(len(got.front), -1, "i8")
+            id_of[frequent.column("number").to_numpy()] = frequent.column("id").to_numpy()
+            return pa.Table.from_batches([_kept(got, id_of)])
+        return pa.Table.from_batches([], _ARROW_RELATION)
+
+    told = relation.mapInArrow(tell, "at long, number long, front long, back long")
+    found = told.join(frequent.select("id", "front", "back"), ["front", "back"]).select("at", "number", "id")
+    return relation.groupBy("block").cogroup(found.groupBy("at")).applyInArrow(keep, RELATION)
+
+
+def _kept(got: _Merged, id_of: np.ndarray) -> pa.RecordBatch:
+    """What is left of a merged relation: the phrases that have an id."""
+    ids = id_of[got.number]
+    stays = ids >= 0
+    return _relation_row(got.block, got.places[stays], ids[stays], got.own)
 
 
 def candidates(
@@ -258,6 +427,7 @@ def candidates(
     max_words: int = MAX_WORDS,
     min_count: int = MIN_COUNT,
     block_words: int = BLOCK_WORDS,
+    broadcast_phrases: int = BROADCAST_PHRASES,
 ) -> tuple[list[DataFrame], DataFrame]:
     """Frequent phrases by length from 1, and ``lang, n``: all words of each language.
 
@@ -267,29 +437,27 @@ def candidates(
     """
     if max_words < 2:
         raise ValueError("a phrase has two words or more")
-    table = stored(word_relation(docs, text_column, lang_column, block_words, max_words), "collocation-words")
-    key = ["lang", "word"]
-    n = stored(table.filter(F.col("phrase").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-sizes")
-    frequent = _frequent(table, key, min_count, "collocation-frequent")
+    texts = docs.select(
+        F.coalesce(lang_column, F.lit(NO_LANGUAGE)).cast("string").alias("lang"), F.col(text_column).cast("binary").alias("text")
+    )
+    counts = stored(word_counts(texts), "collocation-counts")
+    sizes = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")), "collocation-sizes")
+    frequent = counts.filter(F.col("a") >= min_count).withColumn("id", F.monotonically_increasing_id())
+    frequent = stored(frequent, "collocation-frequent")
+    discard(counts)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, (sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
+    relation = stored(
+        word_relation(texts, frequent, block_words, max_words, frequent.count() <= broadcast_phrases), "collocation-relation"
+    )
+    word = F.col("word").cast("string")
     lengths = [
         frequent.select(
-            "id",
-            "lang",
-            F.col("word").cast("string").alias("phrase"),
-            F.col("word").cast("string").alias("last"),
-            "a",
-            F.array("a").alias("fronts"),
-            F.array("a").alias("backs"),
+            "id", "lang", word.alias("phrase"), word.alias("last"), "a", F.array("a").alias("fronts"), F.array("a").alias("backs")
         )
     ]
     for size in range(2, max_words + 1):
-        relation = table.filter(F.col("phrase").isNull()).select("block", "gaps", "phrases", "own")
-        blocks = _in_blocks(table, frequent, key).groupBy("at")
-        merged = relation.groupBy("block").cogroup(blocks).applyInArrow(_extended(size == max_words), PHRASES)
-        before, table = table, stored(merged, "collocation-phrases")
-        discard(before)
-        key = ["front", "back"]
-        frequent = _frequent(table, key, min_count, "collocation-frequent")
+        frequent = stored(pair_counts(relation, buckets, min_count), "collocation-frequent")
         left = lengths[-1].select(F.col("id").alias("front"), "lang", F.col("phrase").alias("begins"), "fronts")
         right = lengths[-1].select(F.col("id").alias("back"), "last", "backs")
         named = frequent.join(left, "front").join(right, "back")
@@ -305,8 +473,14 @@ def candidates(
             "back",
         )
         lengths.append(stored(found, "collocation-lengths"))
-    discard(table)
-    return lengths, n
+        if size < max_words:
+            before = relation
+            is_small = frequent.count() <= broadcast_phrases
+            relation = stored(longer_relation(relation, frequent, is_small), "collocation-relation")
+            discard(before)
+        discard(frequent)
+    discard(relation)
+    return lengths, sizes
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -325,10 +499,11 @@ def mine(
     min_count: int = MIN_COUNT,
     keep_share: int = KEEP_SHARE,
     block_words: int = BLOCK_WORDS,
+    broadcast_phrases: int = BROADCAST_PHRASES,
 ) -> DataFrame:
     """All phrases of two words or more that are no part of a longer one as frequent: ``lang, phrase, a, l, r, n,
     score`` with the cut that scores lowest."""
-    lengths, sizes = candidates(docs, text_column, lang_column, max_words, min_count, block_words)
+    lengths, sizes = candidates(docs, text_column, lang_column, max_words, min_count, block_words, broadcast_phrases)
     kept = None
     for size in range(2, max_words + 1):
         own = lengths[size - 1].select("id", "lang", "phrase", "a", "fronts", "backs")

@@ -54,12 +54,17 @@ def made(seed, count=60):
     return rows + [rows[0]] * 5 + [(None, "en"), ("", None), (" a b", "en"), ("a b a b a b a b", "x")]
 
 
-@pytest.mark.parametrize(("block", "size", "least", "keep"), [(1 << 19, 5, 3, 100), (7, 5, 3, 100), (1, 3, 2, 80), (50, 2, 1, 50)])
-def test_phrases_are_those_of_counting(spark, block, size, least, keep, monkeypatch):
+@pytest.mark.parametrize(
+    ("block", "size", "least", "keep", "small"),
+    [(1 << 19, 5, 3, 100, 1000), (7, 5, 3, 100, 1000), (7, 5, 3, 100, 0), (1, 3, 2, 80, 20), (50, 2, 1, 50, 1000)],
+)
+def test_phrases_are_those_of_counting(spark, block, size, least, keep, small, monkeypatch):
     monkeypatch.setattr(collocation, "PART_BYTES", 40 if block < 100 else 1 << 20)
+    monkeypatch.setattr(collocation, "COUNTED_WORDS", 5)
     rows = made(block)
     docs = spark.createDataFrame([(t, g, 1, 2) for t, g in rows], "text string, lang string, word long, block long")
-    got = collocation.top(collocation.mine(docs, max_words=size, min_count=least, keep_share=keep, block_words=block), 20)
+    found = collocation.mine(docs, max_words=size, min_count=least, keep_share=keep, block_words=block, broadcast_phrases=small)
+    got = collocation.top(found, 20)
     got = sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
     assert got == brute(rows, size, least, keep, 20) and len(got) > 10
 
@@ -78,9 +83,14 @@ def test_empty_tables_and_no_words(spark):
         assert collocation.top(collocation.mine(docs)).collect() == []
 
 
-def test_blocks_move_as_phrases_only(spark):
-    """A relation's row is one of its block; what is counted has a row for each distinct phrase of a block."""
-    docs = spark.createDataFrame([("a b " * 1000, "en")] * 4, "text string, lang string").coalesce(1)
-    table = collocation.word_relation(docs, "text", "lang", 1 << 19, 5)
-    assert table.filter("phrase is null").count() == 1
-    assert sorted((r.word, r.n) for r in table.filter("phrase is not null").collect()) == [(b"a", 4000), (b"b", 4000)]
+def test_occurrences_stay_in_their_blocks(spark):
+    """A relation's row is one of its block; what is counted is one number for each distinct phrase of a block."""
+    docs = spark.createDataFrame([("en", b"a b " * 1000)] * 4, "lang string, text binary").coalesce(1)
+    words = docs.sparkSession.createDataFrame([("en", b"a", 7), ("en", b"b", 8)], "lang string, word binary, id long")
+    relations = [collocation.word_relation(docs, words, 1 << 19, 5, small).collect() for small in (True, False)]
+    assert relations[0] == relations[1] and len(relations[0]) == 1
+    assert list(collocation._unpacked(relations[0][0].ids)) == [7, 8]
+    assert len(collocation._unpacked(relations[0][0].phrases)) == 8000
+    relation = collocation.word_relation(docs, words, 1 << 19, 5, True)
+    pairs = sorted((r.front, r.back, r.a) for r in collocation.pair_counts(relation, 3, 100).collect())
+    assert pairs == [(7, 8, 4000), (8, 7, 3996)]
