@@ -15,7 +15,7 @@ _TOKEN = re.compile(
     r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+|\"[^\"]*+\"?|'[^']*+'?")
 _SPACE = re.compile(r"\s+")
 
 #: Elements whose content is no text of the page.
@@ -61,11 +61,25 @@ class Page:
     links: list[int]  # characters of each text inside links
 
 
+#: Stands among an element's words if it is not shown.
+HIDDEN = "#hidden"
+
+
 def _class_words(attrs: str) -> frozenset[str]:
-    if "=" not in attrs:
+    """Words of the attributes class, id and role, and ``HIDDEN``. Other attributes, as ``data-id``, say nothing."""
+    if not attrs or attrs.isspace():
         return frozenset()
-    found = " ".join("".join(m) for m in _CLASS.findall(attrs)).lower()
-    return frozenset(w for w in re.split(r"[^a-z]+", found) if w)
+    found, hidden = [], False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name = (m[1] or "").lower()
+        value = m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            found += re.split("[^a-z]+", value.lower())
+        elif name == "hidden":
+            hidden = value.lower() != "until-found"
+        elif name == "style" and "display" in value.lower():
+            hidden = hidden or "display:none" in _SPACE.sub("", value.lower())
+    return frozenset([w for w in found if w] + [HIDDEN] * hidden)
 
 
 def parse(source: str | None) -> Page:

@@ -50,15 +50,19 @@ OTHER_WORDS = frozenset(
 STRICT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements comment comments commentlist disqus replies respond "
     "sponsor sponsored promo promotion related recommended popup modal overlay".split()
+) | {dom.HIDDEN}
+#: Words that say only how an element looks or what it is around. Inside a main element ``OTHER_WORDS`` tell if an
+#: element has no words besides them and these: a ``sidebar-box`` goes, an ``entry-header`` or ``share-price``
+#: may be of the article.
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box button buttons card container content cta col column grid group icon icons inner item "
+    "items left link links list outer panel region right row section site small text tools top wrap wrapper".split()
 )
-#: Those that inside a main element tell only if an element has no other words: an ``entry-header``, or a
-#: part named ``share``, may be of the article.
-INNER_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail cookie cookies consent gdpr "
-    "newsletter subscribe subscription signup login contentinfo".split()
-)
+#: Those that do not tell of a heading or paragraph of a main element.
+HEADING_WORDS = frozenset("header toc form search".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: Elements of running text: inside a main element their texts stay, however many pages share them.
+#: Elements of running text: inside a main element their texts stay, however many pages share them, unless the
+#: element or one around it has a word of other matter.
 TEXT_TAGS = frozenset("article main p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
 #: Parts of a container, and elements that are no container of one piece.
 PART_TAGS = TEXT_TAGS | frozenset("tr tbody thead tfoot".split())
@@ -72,6 +76,21 @@ def _container(node: dom.Node) -> dom.Node:
     return node
 
 
+def _is_other(node: dom.Node) -> bool:
+    """Whether the words of an element inside a main one tell that it is none of the article."""
+    words = node.words - PLAIN_WORDS
+    return bool(words) and words <= (OTHER_WORDS - HEADING_WORDS if node.tag in TEXT_TAGS else OTHER_WORDS)
+
+
+def is_tinted(node: dom.Node) -> bool:
+    """Whether an element, or one around it up to the main element, has a word of other matter among its words."""
+    while node is not None and node.tag not in MAIN_TAGS:
+        if node.words & OTHER_WORDS:
+            return True
+        node = node.parent
+    return False
+
+
 def content_blocks(page: dom.Page) -> tuple[list[int], bool]:
     """Numbers of the blocks that their elements allow to be main text, and whether these are the
     blocks inside main elements."""
@@ -103,7 +122,7 @@ def content_blocks(page: dom.Page) -> tuple[list[int], bool]:
                 tags = OTHER_TAGS - {"header"} if main else OTHER_TAGS
                 other = other or bool(down.words & (STRICT_WORDS if inner else OTHER_WORDS))
                 if id(down) not in around_main:
-                    other = other or down.tag in tags or (main and bool(down.words) and down.words <= INNER_WORDS)
+                    other = other or down.tag in tags or (main and _is_other(down))
             main = main or down.tag in MAIN_TAGS
             seen[id(down)] = (other, main)
         return seen[id(node)]
@@ -151,7 +170,8 @@ def keyed_blocks(source: str | None, pivot: str | None) -> tuple[dom.Page, list[
 def main_text(source: str | None, pivot: str | None, constants: frozenset[int]) -> str:
     page, keys = keyed_blocks(source, pivot)
     blocks, main = content_blocks(page)
-    varying = [i for i in blocks if keys[i] not in constants or (main and page.owners[i].tag in TEXT_TAGS)]
+    stays = lambda owner: main and owner.tag in TEXT_TAGS and not is_tinted(owner)
+    varying = [i for i in blocks if keys[i] not in constants or stays(page.owners[i])]
     return "\n".join(page.texts[i] for i in varying or blocks)
 
 

@@ -139,10 +139,64 @@ def test_tables_made_again_in_blocks(monkeypatch):
 def test_class_words_and_links_of_articles():
     cases = {
         '<article><header class="entry-header"><h1>Title</h1></header><p>a</p></article>': "Title\na",
-        "<article><p class='form-of-verb'>a</p><div class='notice'>b</div><div class='share-price'>c</div><div class='toc-entry search'>d</div></article>": "a\nb\nc\nd",
+        "<article><p class='form-of-verb'>a</p><div class='notice'>b</div><div class='share-price'>c</div><div class='toc-entry search'>d</div></article>": "a\nc\nd",
         "<main><div class='sidebar'>x</div><nav>y</nav><p class='ad'>z</p><p>a</p></main>": "a",
         "<div><p>A long enough paragraph of text.</p><p><a href=x>its source</a></p></div>": "A long enough paragraph of text.\nits source",
         "<p>t</p><ol><li>Author, Title of a work, 1999. <a href=x>doi</a></li><li><a href=y>A work online</a></li></ol>": "t\nAuthor, Title of a work, 1999. doi\nA work online",
         "<p>t</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>": "t",
     }
     assert [E.main_text(h, h, frozenset()) for h in cases] == list(cases.values())
+
+
+BOXES = [
+    "<div class=notice>We moved</div>",
+    "<div class='cookie-notice'><p>We use cookies</p></div>",
+    "<div class='sidebar-box'><p>More from us</p></div>",
+    "<div class='social-share'>Share this</div>",
+    "<div class='newsletter-box'><p>Join our list</p></div>",
+    "<div class='alert banner'>Sale</div>",
+    "<header class='site-header'><p>The Daily</p></header>",
+    "<div class=footer>All rights</div>",
+    "<footer>Foot</footer>",
+    "<div id=footer><p>Foot</p></div>",
+    "<div hidden>Not shown</div>",
+    "<p style='color: red; display: none'>Not shown</p>",
+    "<div role=complementary>Aside</div>",
+]
+KEPT = [
+    "<header class='entry-header'><h1>Title {0}</h1></header>",
+    "<div class='share-price' data-id='ad-1'>{0} points</div>",
+    "<p class='form-of-verb' title=\"x class='ad' y\">form {0}</p>",
+    "<div class='toc-entry search'>entry {0}</div>",
+    "<div class='content-box'><p>boxed {0}</p></div>",
+    "<div hidden=until-found style='display:block'>found {0}</div>",
+    "<h2 class=header>Part {0}</h2>",
+    "<p>Shared by all pages</p>",
+]
+
+
+@pytest.mark.parametrize("around", ["<main>{}</main>", "<body><article data-id='ad-1' data-role=comment>{}</article>", "<div><main id=content>{}</main></div>"])
+def test_boxes_inside_a_main_element_go(spark, around):
+    """Of one host with each box on all pages, and of pages alone with one box each."""
+    parts = [x for pair in zip(BOXES, KEPT + [""] * 9, strict=False) for x in pair]
+    rows = [(k, "http://a.org/", around.format("".join(p.format(k) for p in parts))) for k in range(8)]
+    rows += [(100 + k, f"http://h{k}.org/", around.format(f"<p>text {k}</p>{box}")) for k, box in enumerate(BOXES)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in E.extract(df).collect()}
+    for k in range(8):
+        assert got[k] == f"Title {k}\n{k} points\nform {k}\nentry {k}\nboxed {k}\nfound {k}\nPart {k}\nShared by all pages"
+    assert [got[100 + k] for k in range(len(BOXES))] == [f"text {k}" for k in range(len(BOXES))]
+
+
+def test_a_template_word_and_a_shared_text_go_together(spark):
+    """A word of other matter among others tells only of what all pages of a host share."""
+    page = "<article><p>own {0}</p><div class='promo-free share-note'><p>{1}</p></div></article>"
+    rows = [(k, "http://a.org", page.format(k, "the same")) for k in range(8)]
+    rows += [(10 + k, "http://b.org", page.format(k, f"another {k}")) for k in range(8)]
+    page = page.replace("promo-free", "quiet")
+    rows += [(20 + k, "http://c.org", page.format(k, "the same")) for k in range(8)]
+    rows += [(30 + k, "http://d.org", page.format(k, f"another {k}")) for k in range(8)]
+    got = {r.page_id: r.text for r in E.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in (*range(8), *range(10, 18))} == {f"own {k}" for k in range(8)}  # promo tells by itself
+    assert [got[20 + k] for k in range(8)] == [f"own {k}" for k in range(8)]
+    assert [got[30 + k] for k in range(8)] == [f"own {k}\nanother {k}" for k in range(8)]
