@@ -12,7 +12,8 @@ misspelling.
 
 Each hit is read in a window of words: one inside quotation marks, or just behind a word that reports
 speech, counts as quotation, others as abuse. Sums of both over the document, weighted by how toxic the
-term is and apart for exact and misspelled hits, go into a logistic model learned on the same labels.
+term is, go into a logistic model learned on the same labels. A misspelled hit counts as its term does; only
+terms that are beyond chance three times over are looked for misspelled.
 
 A null label teaches nothing; of repeated labels for one id the largest counts; a label for no document
 or an id that stands in several documents is joined as it is. Null and empty texts are without hits and
@@ -80,6 +81,7 @@ class Lexicon:
     weights: dict[str, float]
     own_words: frozenset[str] = frozenset()
     disguised: bool = False  # whether swaps and look-alikes count as one edit
+    as_written: frozenset[str] = frozenset()  # terms that are found without edits only
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
     limits: list[int] = field(default_factory=lambda: [0])  # edits of the terms below a node, at most
     ends: dict[int, str] = field(default_factory=dict)
@@ -92,7 +94,7 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         for term in self.weights:
-            node, edits = 0, 0 if term.endswith("*") else edits_for(term)
+            node, edits = 0, self.edits(term)
             self.limits[0] = max(self.limits[0], edits)
             for letter in term.removesuffix("*"):
                 if letter not in self.children[node]:
@@ -106,10 +108,14 @@ class Lexicon:
         self._forget()
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "own_words": self.own_words, "disguised": self.disguised}
+        return {n: getattr(self, n) for n in ("weights", "own_words", "disguised", "as_written")}
 
     def __setstate__(self, kept: dict) -> None:
-        self.__init__(kept["weights"], kept["own_words"], kept["disguised"])
+        self.__init__(**kept)
+
+    def edits(self, term: str) -> int:
+        """Edits within which a term or stem of this lexicon is recognised."""
+        return 0 if term.endswith("*") or term in self.as_written else edits_for(term)
 
     def _forget(self) -> None:
         self.states, self.members, self.moves, self.held = {}, [], {}, 0
@@ -156,9 +162,9 @@ class Lexicon:
             plain = word.translate(LOOK_ALIKES)
             if plain != word and not word.isdecimal():
                 whole, others = self._read(plain)
-                near += [(1, term) for term in whole if not term.endswith("*") and edits_for(term)]
+                near += [(1, term) for term in whole if self.edits(term)]
                 near += [(edits + 1, term) for edits, term in others]
-        near = [(edits, term) for edits, term in near if edits <= edits_for(term)]
+        near = [(edits, term) for edits, term in near if edits <= self.edits(term)]
         if not near or word in self.own_words:
             return None
         edits, term = min(near)
@@ -211,7 +217,7 @@ class Lexicon:
                     yield place, *hit
 
 
-FEATURES = ("exact", "misspelled", "quoted", "dense", "heaviest", "terms")
+FEATURES = ("abuse", "quoted", "dense", "heaviest", "terms")
 
 
 def is_quoted(tokens: list[str], place: int) -> bool:
@@ -225,27 +231,24 @@ def is_quoted(tokens: list[str], place: int) -> bool:
 
 
 def features(lexicon: Lexicon, text: str | None) -> list[float]:
-    """What a document's hits come to, in the order of ``FEATURES``."""
-    exact = misspelled = quoted = heaviest = 0.0
+    """What a document's hits come to, in the order of ``FEATURES``. A misspelled hit counts as its term does."""
+    abuse = quoted = heaviest = 0.0
     words = hits = 0
     terms: set[str] = set()
     for part in text_parts(text or "", PART_CHARS):
         tokens = _TOKEN.findall(part.lower())
         words += len(tokens)
-        for place, term, edits in lexicon.hits(tokens):
+        for place, term, _ in lexicon.hits(tokens):
             weight = lexicon.weights[term]
             if is_quoted(tokens, place):
                 quoted += weight
                 continue
             hits += 1
             terms.add(term)
-            if edits:
-                misspelled += weight / (1 + edits)
-            else:
-                exact += weight
-                heaviest = max(heaviest, weight)
+            abuse += weight
+            heaviest = max(heaviest, weight)
     dense = 100 * hits / max(words, 20)
-    return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(dense), heaviest, math.log1p(len(terms))]
+    return [math.log1p(abuse), math.log1p(quoted), math.log1p(dense), heaviest, math.log1p(len(terms))]
 
 
 @dataclass(frozen=True)
@@ -259,9 +262,9 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, at))))
 
 
-#: What the weights of ``FEATURES`` are held to as far as labels do not tell: hits count, misspelled
-#: ones less, quoted ones a little against.
-PRIOR = np.array([1.0, 0.7, -0.3, 0.0, 0.0, 0.0])
+#: What the weights of ``FEATURES`` are held to as far as labels do not tell: hits count, quoted ones a little
+#: against.
+PRIOR = np.array([1.0, -0.3, 0.0, 0.0, 0.0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -358,7 +361,10 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         .select("word", odds.alias("odds"), surprise.alias("surprise"))
         .filter(F.col("surprise") > math.log(max(2, of_all.tried)))
     )
-    terms = Lexicon({r.word: r.odds for r in told.collect() if r.odds > 0}, disguised=True)
+    kept = [r for r in told.collect() if r.odds > 0]
+    # a misspelling is a guess, made for terms that are beyond chance three times over
+    as_written = frozenset(r.word for r in kept if r.surprise < 3 * math.log(max(2, of_all.tried)))
+    terms = Lexicon({r.word: r.odds for r in kept}, disguised=True, as_written=as_written)
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +375,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     # words within the edits of a term: few, as the terms are
     others = counts.filter((F.col("n") - F.col("t") >= MIN_DOCS) & ~F.col("word").endswith("*"))
     own = others.select("word").mapInArrow(near, "word string").collect()
-    return Lexicon(terms.weights, frozenset(r.word for r in own), disguised=True)
+    return Lexicon(terms.weights, frozenset(r.word for r in own), True, as_written)
 
 
 def fit(

@@ -44,7 +44,10 @@ def test_stems_own_words_and_quotation():
     assert X.is_quoted(words("they said moron"), 2)
     assert not X.is_quoted(words("you are a moron indeed"), 3)
     plain, quoted = X.features(lexicon, "you moron"), X.features(lexicon, 'said "moron"')
-    assert plain[0] > 0 == plain[2] and quoted[0] == 0 < quoted[2]
+    assert plain[0] > 0 == plain[1] and quoted[0] == 0 < quoted[1]
+    assert X.features(lexicon, "you mroon")[0] == 0 and X.features(lexicon, "you morron") == plain
+    written = X.Lexicon({"moron": 3.0}, as_written=frozenset({"moron"}), disguised=True)
+    assert [written.match(w) for w in ("moron", "morons", "mroon", "m0ron")] == [("moron", 0), None, None, None]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are missing")
@@ -60,6 +63,30 @@ def test_held_out_scores(spark):
     assert below > 0.95
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are missing")
+def test_misspelled_abuse_is_caught(spark):
+    """Held-out toxic texts with each term that is looked for misspelled changed in one way."""
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.fit(docs.select("doc_id", "text"), labels, learnable("doc_id"))
+    fuzzy = {t for t in model.lexicon.weights if model.lexicon.edits(t)}
+    assert {"idiot", "moron", "scum", "worthless"} <= fuzzy
+    held = docs.join(labels.filter("toxic = 1"), "doc_id").filter("crc32(string(doc_id)) % 4 = 2")
+    texts = [r.text for r in held.collect() if model.score(r.text) >= X.THRESHOLD]
+    texts = [t for t in texts if fuzzy & set(X._TOKEN.findall(t.lower()))]
+    assert len(texts) > 50
+    ways = {
+        "swapped": lambda w: w[:1] + w[2] + w[1] + w[3:],
+        "doubled": lambda w: w + w[-1],
+        "dropped": lambda w: w[:2] + w[3:],
+        "sign": lambda w: next((w[:k] + s + w[k + 1 :] for k, c in enumerate(w) if k for a, s in zip("oieas", "01345") if a == c), w + w[-1]),
+    }
+    for way in ways.values():
+        changed = [X._TOKEN.sub(lambda m: way(m[0].lower()) if m[0].lower() in fuzzy else m[0], t) for t in texts]
+        assert all(c != t for c, t in zip(changed, texts, strict=True))
+        caught = sum(model.score(c) >= X.THRESHOLD for c in changed)
+        assert caught >= 0.9 * len(texts)
+
+
 def test_edge_rows(spark):
     texts = [(i, "bad moron text" if i % 3 == 0 else "fine kind text") for i in range(60)]
     docs = spark.createDataFrame([*texts, (100, None), (None, ""), (0, "bad moron text")], "doc_id long, text string").selectExpr("*", "1 as toxic")
