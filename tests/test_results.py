@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom import schemas as S
 from docloom.functions import grids
 from docloom.operators import layout, results, tables
+from docloom.plans import document_queries
 from docloom.sources import sinks
 from tests.conftest import plan_of
 
@@ -187,3 +188,17 @@ def test_spread_only_on_request(spark):
     df = spark.range(1_000)
     assert "Exchange" not in plan_of(layout.spread(df, None, "id"))
     assert layout.spread(df, 3, "id").rdd.getNumPartitions() == 3
+
+
+def test_stored_results_are_parsed_once(spark, monkeypatch):
+    """One parser for all members that are read: it comes out of a generator."""
+    own = built(spark).withColumn("created_at", F.col("completed_at"))
+    monkeypatch.setattr(document_queries, "built", lambda *_: own)
+    df = document_queries.completed_rows(spark, "")
+    assert "get_json_object" not in plan_of(df, "simple") and plan_of(df, "simple").count("from_json") == 1
+    rows = {r.job_id: r for r in df.collect()}
+    assert [rows[j].kv_found for j in ("j1", "j2", "j3")] == ["2", "0", "1"]
+    assert [rows[j].ai_result_is_null for j in ("j1", "j2", "j3")] == [False, True, True]
+    assert rows["j3"].passes == "false" and rows["j3"].doc_confidence == 50.0
+    assert rows["j2"].cleaned_text == "nothing" and rows["j2"].customer is None
+    assert rows["j2"].step_detail == "Using regex fallback"
