@@ -213,6 +213,50 @@ def test_jobs_stream_with_keyed_tables(spark, tmp_path):
     assert outs[0] == outs[1] and len(outs[0]) == 200
 
 
+def test_rows_of_other_keys_are_not_shuffled(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("file_key"), F.repeat(F.lit("t"), 20).alias("text"))
+    table = keyed.save_keyed(rows, str(tmp_path / "table"), "file_key", 4)
+    asked = rows.limit(3000).select("file_key").unionByName(spark.createDataFrame([("none",)], "file_key string"))
+    first = table.matching(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert first.count("Join LeftSemi") == 2 and "xxhash64(file_key" in first
+    assert table.matching(asked).count() == 3000
+    monkeypatch.setattr(keyed, "SENT_KEYS", 2000)
+    assert table.matching(asked).count() == 3000
+
+
+def test_no_result_is_shuffled_for_its_answer(spark, tmp_path):
+    """Documents that repeat a file or an id, have none, or several answers: as a left join by id gives them."""
+    docs = spark.createDataFrame(
+        [("a", 1, "x: 1"), ("a", 2, "y: 2"), ("b", 1, "z: 3"), ("b", None, "n: 4"), ("b", 1, "z: 3"), ("c", 3, "c: 5")],
+        "file_key string, doc_id long, text string",
+    )
+    answers = spark.createDataFrame([(1, "p"), (1, "q"), (3, None), (None, "r"), (9, "s")], "doc_id long, response string")
+    got = streams._with_answers(docs, docs.select("file_key", "doc_id"), answers)
+    want = docs.join(answers, "doc_id", "left").select("file_key", "doc_id", "text", "response")
+    assert sorted(got.select(want.columns).collect(), key=str) == sorted(want.collect(), key=str)
+    by_id = [line for line in plan_of(got).split("\n") if "Arguments: hashpartitioning(doc_id" in line]
+    assert "text" not in " ".join(by_id)
+
+
+def test_changes_of_the_last_run_of_a_job(spark, tmp_path):
+    """As folding the events of the last run gives them, whatever an earlier run had left."""
+    columns = "job_id string, generation long, batch_id long, seq int, status string, step string, error string, ts timestamp"
+    runs = {("a", 1, 0): "failed", ("a", 1, 3): "completed", ("a", 2, 0): "completed", ("b", 2, 1): "failed", ("b", 1, 7): "completed"}
+    rows = []
+    for (job, generation, batch), end in runs.items():
+        rows += [(job, generation, batch, 0, "processing", f"OCR {batch}", None, None)]
+        rows += [(job, generation, batch, 1, end, None, "broken" if end == "failed" else None, None)]
+    events = spark.createDataFrame(rows, columns)
+    for generation, batch in {(g, b) for _, g, b in runs}:
+        own = events.filter((F.col("generation") == generation) & (F.col("batch_id") == batch)).drop("generation", "batch_id")
+        sinks.save_batch(status.job_changes(own), str(tmp_path / "changes"), batch, generation)
+    got = streams.latest_changes(spark.read.parquet(str(tmp_path / "changes")))
+    want = status.job_changes(streams.ordered(events))
+    shown = ["job_id", "status", "current_step", "error", "status_seq is null", "error_seq is null", "completed_seq is null"]
+    assert sorted(map(tuple, got.selectExpr(shown).collect()), key=str) == sorted(map(tuple, want.selectExpr(shown).collect()), key=str)
+    assert {r.job_id: r.error for r in got.collect()} == {"a": None, "b": "broken"}
+
+
 # ---- S8 --------------------------------------------------------------------------------------
 
 
