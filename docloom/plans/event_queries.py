@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -307,7 +309,7 @@ def stream_current(spark, sf_dir):
 def stream_terminal_cut(spark, sf_dir):
     landed = _landed(spark, _events(spark, sf_dir), "events")
     out = shared_dir(spark, "passed")
-    _finish(streams.follow_until_closed(landed, out, shared_dir(spark, "checkpoint")))
+    _finish(streams.follow_until_closed(landed, out, shared_dir(spark, "checkpoint"), groups=streams.JOB_GROUPS))
     return streams.read_until_closed(spark.read.parquet(out)).select(*_EVENT_COLUMNS)
 
 
@@ -377,7 +379,8 @@ def replay_rebatched(spark, sf_dir):
     middle = (events.agg(F.max("seq")).first()[0] or 0) // 2
     for part in (F.col("seq") <= middle, F.col("seq") > middle):
         sinks.append(events.filter(part), path)
-        for start, out in ((streams.follow_state, states), (streams.follow_until_closed, passed)):
+        follow_cut = partial(streams.follow_until_closed, groups=streams.JOB_GROUPS)
+        for start, out in ((streams.follow_state, states), (follow_cut, passed)):
             _finish(start(_opened(spark, path, events), out, shared_dir(spark, "checkpoint")))
     columns = ("job_id", "seq", "status", "step", "error")
     known = sinks.latest_states(spark.read.parquet(states)).withColumnRenamed("last_seq", "seq")

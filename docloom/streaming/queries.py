@@ -20,6 +20,9 @@ from docloom.sources.job_table import JobTable
 from docloom.sources.keyed import KeyedTable
 from docloom.streaming import processors
 
+#: Groups that hold the states of jobs. A batch moves the states of all groups it touches.
+JOB_GROUPS = 1024
+
 _UNITS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
@@ -207,28 +210,41 @@ def follow_until_closed(
     delay: str = "1 day",
     keep: str = "7 days",
     salts: int = 1,
+    groups: int | None = None,
 ) -> StreamingQuery:
     """E5: pass events on until their job's first terminal event.
 
     ``events`` carries ``ts``. The state holds one number for each closed job and forgets it ``keep`` after the
     closing, so a batch's work follows its own events. Events that are ``delay`` older than the newest are dropped
     as late. With ``salts`` above one, the events of a job are dealt over as many groups and each terminal event
-    is shown to all of them, for streams in which one job may hold a large part of all events. Batches may bring
-    events out of order: :func:`read_until_closed` cuts what was passed on once more.
+    is shown to all of them, for streams in which one job may hold a large part of all events. With ``groups`` the
+    jobs are dealt over as many groups that hold one state each, for batches with many jobs of few events: a batch
+    reads and writes the states of its groups whole, but has no calls to the state store for each job. Batches may
+    bring events out of order: :func:`read_until_closed` cuts what was passed on once more.
     """
     own = F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int")
     shown = F.when(status.is_terminal(F.col("status")), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(own))
-    if salts == 1:
+    if salts > 1:
+        dealt = events.withColumn("salt", F.explode(shown)).withColumn("is_own", F.col("salt") == own)
+    elif groups is None:
         dealt = events.withColumns({"salt": F.lit(0), "is_own": F.lit(True)})
     else:
-        dealt = events.withColumn("salt", F.explode(shown)).withColumn("is_own", F.col("salt") == own)
-    groups = _timed(dealt, delay).groupBy("job_id", "salt")
-    passed = groups.transformWithState(
-        processors.UntilClosed(events.columns, milliseconds(keep)), events.schema, "append", "eventTime"
-    )
+        dealt = events  # each column more costs time for every row
+    timed = _timed(dealt, delay)
+    if groups is None:
+        keyed, processor = timed.groupBy("job_id", "salt"), processors.UntilClosed(events.columns, milliseconds(keep))
+    else:
+        keyed = _grouped(timed, groups).groupBy("job_group", *["salt"] * (salts > 1))
+        processor = processors.GroupUntilClosed(events.columns, milliseconds(keep), salts > 1)
+    passed = keyed.transformWithState(processor, events.schema, "append", "eventTime")
     return _start(passed, _saved_to(out), checkpoint, once)
 
 
+def _grouped(rows: DataFrame, groups: int) -> DataFrame:
+    """``rows`` with the ``job_group`` that their job is dealt to."""
+    return rows.withColumn("job_group", F.pmod(F.xxhash64("job_id"), F.lit(groups)).cast("int"))
+
+
 def _timed(events: DataFrame, delay: str) -> DataFrame:
     """Events with their time as ``at`` under a watermark and as ``at_ms``, for a state that ends."""
     processors.use_rocksdb(events.sparkSession)
@@ -264,22 +280,26 @@ def follow_snapshot_tail(
     once: bool = True,
     delay: str = "1 day",
     keep: str = "7 days",
+    groups: int = JOB_GROUPS,
 ) -> StreamingQuery:
     """What the viewers of all jobs see: each job's stored state, then its events until it ends.
 
     ``snapshots(job_id, status, step)`` has a row for each job and is read when the stream first starts, after
     the events are subscribed to; so a state may be older than the first event and seen twice, never missed. It
     becomes the first state of the stream and is sent before a job's first event, or by a timer if there is
-    none. A job without a snapshot has its events only. ``delay`` and ``keep`` as in :func:`follow_until_closed`.
+    none. A job without a snapshot has its events only. ``delay``, ``keep`` and ``groups`` as in
+    :func:`follow_until_closed`.
     Read with :func:`read_snapshot_tail`.
     """
-    groups = _timed(events.withColumn("is_own", F.lit(True)), delay).groupBy("job_id")
-    tail = groups.transformWithState(
-        processors.SnapshotTail(events.columns, milliseconds(keep)),
+    timed = _grouped(_timed(events, delay), groups)
+    shot = F.struct("job_id", "status", "step")
+    shots = _grouped(snapshots, groups).groupBy("job_group").agg(F.collect_list(shot).alias("snapshots"))
+    tail = timed.groupBy("job_group").transformWithState(
+        processors.GroupUntilClosed(events.columns, milliseconds(keep)),
         events.schema,
         "append",
         "eventTime",
-        initialState=snapshots.select("job_id", "status", "step").groupBy("job_id"),
+        initialState=shots.groupBy("job_group"),
     )
     return _start(tail, _saved_to(out), checkpoint, once)
 
@@ -290,18 +310,25 @@ def read_snapshot_tail(seen: DataFrame) -> DataFrame:
 
 
 def follow_silence(
-    events: DataFrame, out: str, checkpoint: str, cutoff_seconds: int, once: bool = True, delay: str = "1 hour"
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    cutoff_seconds: int,
+    once: bool = True,
+    delay: str = "1 hour",
+    groups: int = JOB_GROUPS,
 ) -> StreamingQuery:
     """X4 while it happens: a row for each job that falls silent for ``cutoff_seconds`` before it has ended, and
     one when it goes on. ``events`` carries ``ts`` and may come late by ``delay``, no more than the cutoff.
 
-    The state of an ended job goes ``cutoff_seconds`` after its newest event. Read with :func:`read_silence`.
+    The state of an ended job goes ``cutoff_seconds`` after its newest event. ``groups`` as in
+    :func:`follow_until_closed`. Read with :func:`read_silence`.
     """
     delay_ms = milliseconds(delay)
     if delay_ms > cutoff_seconds * 1000:
         raise ValueError("the delay must not exceed the cutoff")
     timed = _timed(events, delay).select("job_id", "seq", "status", "at", epoch_micros(events, "ts").alias("at_us"))
-    told = timed.groupBy("job_id").transformWithState(
+    told = _grouped(timed, groups).groupBy("job_group").transformWithState(
         processors.Silence(cutoff_seconds * 1000, delay_ms),
         "job_id string, status string, seq long, last_at long, stuck boolean",
         "append",

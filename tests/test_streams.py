@@ -57,6 +57,53 @@ def test_a_closing_that_comes_late_cuts_what_was_passed(spark, events, tmp_path)
     assert {(r.job_id, r.seq) for r in got.collect()} == slow_cut()
 
 
+def groups_held(spark, checkpoint):
+    """The jobs in the states of groups."""
+    rows = spark.read.format("statestore").option("stateVarName", "jobs").load(checkpoint).collect()
+    return [json.loads(r.value.jobs) for r in rows]
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_groups_of_jobs_pass_on_what_single_jobs_do(spark, events, tmp_path, salts):
+    """Batches out of order, two files each; a group has one state, however many jobs it holds."""
+    path, alone, grouped = (str(tmp_path / n) for n in ("in", "alone", "grouped"))
+    for least in (800, 0, 1200, 400):
+        sinks.append(events.filter((F.col("seq") >= least) & (F.col("seq") < least + 400)).repartition(2), path)
+        for out, groups in ((alone, None), (grouped, 3)):
+            stream = files.event_stream(spark, path, schema=events.schema)
+            run(streams.follow_until_closed(stream, out, f"{out}-cp", salts=salts, groups=groups))
+    one, many = (sorted(spark.read.parquet(o).drop("generation").collect(), key=str) for o in (alone, grouped))
+    assert [tuple(r) for r in one] == [tuple(r) for r in many]
+    got = streams.read_until_closed(spark.read.parquet(grouped))
+    assert {(r.job_id, r.seq) for r in got.collect()} == slow_cut()
+    held = groups_held(spark, f"{grouped}-cp")
+    closed = {r[0] for r in EVENTS if r[3] in ("completed", "failed")}
+    assert len(held) <= 3 * salts and {j[0] for jobs in held for j in jobs} == closed
+
+
+def test_states_of_groups_end(spark, tmp_path):
+    """A job every three days, closed at once, kept for two; and snapshots of jobs that never come."""
+    import datetime as dt
+
+    first = dt.datetime(2024, 1, 1)
+    days = [(f"j{k}", k, first + dt.timedelta(days=k), "completed", None, None, None, None, None, None) for k in (0, 3, 6)]
+    shots = spark.createDataFrame([("gone", "failed", ""), ("waits", "queued", ""), (None, "queued", "")], "job_id string, status string, step string")
+    path = str(tmp_path / "in")
+    for row in days:
+        sinks.append(spark.createDataFrame([row], SCHEMA).coalesce(1), path)
+        for name, start in (
+            ("cut", lambda e, *to: streams.follow_until_closed(e, *to, delay="1 hour", keep="2 days", groups=2)),
+            ("tail", lambda e, *to: streams.follow_snapshot_tail(shots, e, *to, delay="1 hour", keep="2 days", groups=2)),
+            ("silence", lambda e, *to: streams.follow_silence(e, *to, 2 * 86_400, groups=2)),
+        ):
+            stream = files.event_stream(spark, path, schema=SCHEMA)
+            run(start(stream, str(tmp_path / name), str(tmp_path / f"{name}-cp")))
+            held = {j[0] for jobs in groups_held(spark, str(tmp_path / f"{name}-cp")) for j in jobs}
+            assert held - {"gone"} == {row[0]} and ("gone" in held) == (name == "tail" and row is days[0]), name
+    assert spark.read.parquet(str(tmp_path / "tail")).filter("seq = -1").count() == 3
+    assert spark.read.parquet(str(tmp_path / "tail")).filter("seq >= 0").count() == 3
+
+
 def test_intervals():
     assert streams.milliseconds("7 days") == 7 * 86_400_000
     assert streams.milliseconds("1 hour 30 seconds") == 3_630_000
