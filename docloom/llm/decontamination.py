@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.tables import ascii_lower, stored
+from docloom.llm.workers import begin
 
 WINDOW = 10
 SLICE_WORDS = 200_000
@@ -233,6 +234,7 @@ def _finder(shared):
     def scan(texts, before):
         import pandas as pd
 
+        begin("decontamination")
         automaton, rows = shared.value, []
         for text, spans, items in zip(texts, before["spans"], before["items"], strict=True):
             words = words_of(text)

@@ -41,6 +41,7 @@ from docloom.llm.components import components
 from docloom.llm.shingles import SHINGLE_WORDS, mix, shingle_set
 from docloom.llm.tables import stored
 from docloom.llm.url_filter import Bloom
+from docloom.llm.workers import begin
 
 PERCENT = 80
 GROUPS = 128
@@ -95,6 +96,7 @@ def token_sets(docs: DataFrame, id_column: str, text_column: str, words: int) ->
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         seen: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

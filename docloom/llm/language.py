@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.workers import begin
+
 #: Rows that are learned from, at most (as expected by a hash): a bound on the work of fitting.
 TRAIN_ROWS = 20_000
 SIZES = (3, 4)
@@ -183,6 +185,7 @@ def predict(docs: DataFrame, model: Model, text_column: str, language: str, scor
     def judged(texts):
         import pandas as pd
 
+        begin("language")
         found = [judge_text(shared.value, t) for t in texts]
         return pd.DataFrame(found, columns=["lang", "score"])
 

@@ -12,7 +12,6 @@ is packed by itself. Other columns of the input are not read. An empty table giv
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.workers import begin, kept
+
 MAX_LENGTH = 2048
 END_ID = 1
 #: A longer text is tokenized in parts, cut at white space, where tokens never cross.
@@ -152,7 +153,7 @@ class WordTokens:
             yield b"".join([known[w] for w in words])
 
 
-@functools.lru_cache(maxsize=1)
+@kept
 def word_tokens(path: str) -> WordTokens:
     """One for all tasks of a worker process."""
     return WordTokens(path)
@@ -198,6 +199,7 @@ def decompose(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        begin("packing")
         tokens = word_tokens(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, DOCS_AT_ONCE):

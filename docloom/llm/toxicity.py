@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.packing import text_parts
 from docloom.llm.tables import stored
+from docloom.llm.workers import begin
 
 #: Labelled rows that are learned from, at most (as expected by a hash): a bound on the work of fitting.
 TRAIN_ROWS = 20_000
@@ -50,6 +51,8 @@ CONTEXT, BEFORE = 8, 3
 FUZZY_LETTERS, LONG_LETTERS = 4, 8
 STEM_LETTERS = (5, 6, 7)
 PART_CHARS = 1 << 20
+#: Texts that a worker holds as Python strings at once.
+DOCS_AT_ONCE = 200
 #: What a worker remembers: words, steps of the automaton, and trie nodes in its states.
 KNOWN_WORDS, KNOWN_STEPS, KNOWN_NODES = 100_000, 200_000, 1_000_000
 
@@ -320,9 +323,10 @@ def labelled(
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The label and each distinct word of a document."""
+    begin("toxicity")
     for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            part = batch.slice(k, 200)
+        for k in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(k, DOCS_AT_ONCE)
             flags, words = [], []
             for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 seen: set[str] = set()
@@ -368,6 +372,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             words = [w for w in batch.column(0).to_pylist() if (hit := shared.value.match(w)) and hit[1]]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
@@ -393,7 +398,7 @@ def fit(
     """
     rows = stored(labelled(docs, labels, learn, train_rows, id_column, text_column, label_column), "labelled")
     lexicon = learn_lexicon(rows)
-    table = rows.select("toxic", _features(rows, lexicon)(F.col("text")).alias("x")).toPandas()
+    table = _beside(rows.select("toxic", "text"), lexicon, features, "x", pa.list_(pa.float64())).toPandas()
     if not len(table):
         return Model(lexicon, np.zeros(len(FEATURES)), -40.0)
     y = table.toxic.to_numpy(float)
@@ -402,16 +407,29 @@ def fit(
     return Model(lexicon, *logistic(np.array(table.x.tolist(), float), y))
 
 
-def _features(df: DataFrame, lexicon: Lexicon):
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)
+def _beside(rows: DataFrame, model, judge, column: str, kind: pa.DataType) -> DataFrame:
+    """The first column of ``rows`` with what ``judge(model, text)`` says of the text in the second.
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def of(texts):
-        import pandas as pd
+    Spark holds no rows while the worker reads them, and texts do not come back.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    name = rows.columns[0]
+    given = T.DoubleType() if kind == pa.float64() else T.ArrayType(T.DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
+        for batch in batches:
+            for k in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(k, DOCS_AT_ONCE)
+                judged = pa.array([judge(shared.value, t) for t in part.column(1).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), judged], [name, column])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField(column, given)]))
 
-        return pd.Series([features(shared.value, t) for t in texts])
 
-    return of
+def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The id and the score of each text, for those who need no other column."""
+    return _beside(docs.select(id_column, text_column), model, Model.score, "score", pa.float64())
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", column: str = "score") -> DataFrame:
@@ -422,6 +440,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", column: str
     def of(texts):
         import pandas as pd
 
+        begin("toxicity")
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
     return docs.withColumn(column, of(F.col(text_column)))

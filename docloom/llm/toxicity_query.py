@@ -14,7 +14,7 @@ from docloom.llm.tables import held_out, learnable, read
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), learnable("doc_id"))
-    return toxicity.score(docs, model).select(
+    return toxicity.scores(docs, model).select(
         "doc_id",
         held_out("doc_id").alias("held_out"),
         "score",

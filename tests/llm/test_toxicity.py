@@ -138,3 +138,13 @@ def test_planted_misspellings_of_every_term():
         planted -= {term}
         assert {w: lexicon.match(w) and lexicon.match(w)[0] for w in planted} == dict.fromkeys(planted, term)
     assert not any(map(lexicon.match, ("scam", "scumming", "105", "item", "path", "minor", "worth", "losses")))
+
+
+def test_scores_alone_are_those_of_all_columns(spark):
+    """Ids and scores without the texts: no row waits in Spark and no text comes back from a worker."""
+    docs = spark.createDataFrame([(1, "you moron", "a"), (None, None, "b"), (1, "", "c"), (2, "kind " * 900, "d")], "doc_id long, text string, source string")
+    model = X.Model(X.Lexicon({"moron": 3.0}), X.np.ones(len(X.FEATURES)), -2.0)
+    alone = X.scores(docs, model)
+    assert alone.columns == ["doc_id", "score"] and "ArrowEvalPython" not in alone._jdf.queryExecution().toString()
+    both = [sorted((str(r.doc_id), r.score) for r in df.collect()) for df in (alone, X.score(docs, model))]
+    assert both[0] == both[1]
