@@ -128,6 +128,7 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
     """How many sets have a token in each hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         counts = np.zeros(SKETCH, "i8")
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -163,6 +164,7 @@ def cells(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 cids, sizes, sets = (c.slice(k, 500) for c in batch.columns)
@@ -219,6 +221,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = some.select(F.col("cid").alias("b"), F.col("tokens").alias("right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -251,6 +254,7 @@ def points_of(sets: DataFrame, cids: DataFrame, groups: int = GROUPS) -> DataFra
     """``cid, n, counts``: the points of the classes of ``cids``, and of few others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             points = [counts_of(unpack(x), groups).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -269,6 +273,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     points = points_of(sets, both, FINE_GROUPS)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 a, b, n_a, n_b, one, other = batch.slice(k, 1024).columns
@@ -396,6 +401,7 @@ def _join_cells(percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:

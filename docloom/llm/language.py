@@ -121,6 +121,7 @@ def training_rows(docs: DataFrame, rows: int, id_column: str, text_column: str,
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-gram hashes by language and batch, with their counts."""
+    begin("language")
     for whole in batches:
         for batch in (whole.slice(k, ROWS_AT_ONCE) for k in range(0, whole.num_rows, ROWS_AT_ONCE)):
             langs = np.array(batch.column(0).to_pylist(), object)
@@ -174,26 +175,34 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     The model is a broadcast of fixed size, ``PLACES`` masks.
     """
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return predict(narrow, model, "text", "lang_pred", "score")
+    return _beside(narrow, model, 1, 1, "lang_pred", "score")
 
 
 def predict(docs: DataFrame, model: Model, text_column: str, language: str, score: str) -> DataFrame:
     """All columns of ``docs`` with two more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop(language, score)
+    return _beside(rows, model, len(rows.columns), rows.columns.index(text_column), language, score)
 
-    @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def judged(texts):
-        import pandas as pd
 
-        begin("language")
-        found = [judge_text(shared.value, t) for t in texts]
-        return pd.DataFrame(found, columns=["lang", "score"])
+def _beside(rows: DataFrame, model: Model, kept: int, text: int, language: str, score: str) -> DataFrame:
+    """The first ``kept`` columns of ``rows``, with language and score of the text in column ``text``.
 
-    return (
-        docs.withColumn("_judged", judged(F.col(text_column)))
-        .withColumns({language: F.col("_judged.lang"), score: F.col("_judged.score")})
-        .drop("_judged")
-    )
+    Spark holds no rows while the worker reads them, and a worker holds few texts as strings at once.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [*rows.columns[:kept], language, score]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language")
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                found = [judge_text(shared.value, t) for t in part.column(text).to_pylist()]
+                added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *added], names)
+
+    added = [T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:kept], *added]))
 
 
 def judge_text(model: Model, text: str | None) -> tuple[str, float]:

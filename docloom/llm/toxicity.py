@@ -407,13 +407,15 @@ def fit(
     return Model(lexicon, *logistic(np.array(table.x.tolist(), float), y))
 
 
-def _beside(rows: DataFrame, model, judge, column: str, kind: pa.DataType) -> DataFrame:
-    """The first column of ``rows`` with what ``judge(model, text)`` says of the text in the second.
+def _beside(
+    rows: DataFrame, model, judge, column: str, kind: pa.DataType, kept: int = 1, text: int = 1
+) -> DataFrame:
+    """The first ``kept`` columns of ``rows`` with what ``judge(model, text)`` says of the text in column ``text``.
 
-    Spark holds no rows while the worker reads them, and texts do not come back.
+    Spark holds no rows while the worker reads them, and a worker holds few texts as strings at once.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    name = rows.columns[0]
+    names = [*rows.columns[:kept], column]
     given = T.DoubleType() if kind == pa.float64() else T.ArrayType(T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,26 +423,18 @@ def _beside(rows: DataFrame, model, judge, column: str, kind: pa.DataType) -> Da
         for batch in batches:
             for k in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(k, DOCS_AT_ONCE)
-                judged = pa.array([judge(shared.value, t) for t in part.column(1).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), judged], [name, column])
+                judged = pa.array([judge(shared.value, t) for t in part.column(text).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], judged], names)
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField(column, given)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:kept], T.StructField(column, given)]))
 
 
 def scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The id and the score of each text, for those who need no other column."""
+    """The id and the score of each text, for those who need no other column; texts do not come back."""
     return _beside(docs.select(id_column, text_column), model, Model.score, "score", pa.float64())
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the score of each text, 0 to 1, in one narrow pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(T.DoubleType())
-    def of(texts):
-        import pandas as pd
-
-        begin("toxicity")
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
-
-    return docs.withColumn(column, of(F.col(text_column)))
+    rows = docs.drop(column)
+    return _beside(rows, model, Model.score, column, pa.float64(), len(rows.columns), rows.columns.index(text_column))
