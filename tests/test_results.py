@@ -202,3 +202,12 @@ def test_stored_results_are_parsed_once(spark, monkeypatch):
     assert rows["j3"].passes == "false" and rows["j3"].doc_confidence == 50.0
     assert rows["j2"].cleaned_text == "nothing" and rows["j2"].customer is None
     assert rows["j2"].step_detail == "Using regex fallback"
+
+
+def test_overview_searches_the_ledger_once_for_a_label(spark):
+    overview = results.step_overview(built(spark), "doc_id")
+    plan = overview._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(pipeline_steps") == len(S.STEP_LABELS)
+    rows = [(r.label, r.step_status, r.detail) for r in overview.orderBy("doc_id", "label_no").collect() if r.doc_id == 1]
+    assert [r[0] for r in rows] == list(S.STEP_LABELS)
+    assert rows[1] == ("Clean Text", "ok", "23 → 19 chars") and rows[4] == ("Database", "ok", "tersimpan")
