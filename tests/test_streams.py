@@ -238,6 +238,49 @@ def test_a_batch_opens_only_the_folders_of_its_keys(spark, tmp_path):
     assert table.matching(one.limit(0)).count() == 0
 
 
+def test_a_batch_reads_its_documents_twice(spark, tmp_path):
+    """Once for what is narrow, once for texts; jobs that are lost or broken are told from the narrow part."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(n):
+        read.add(1)
+        return f"k{n}"
+
+    docs = spark.range(50).select(
+        key.asNondeterministic()("id").alias("file_key"),
+        F.col("id").alias("doc_id"),
+        F.lit("Name: n").alias("text"),
+        F.lit(None).cast("array<array<array<string>>>").alias("tables"),
+        F.lit(0.5).alias("confidence"),
+        F.when(F.col("id") == 3, "ValueError").alias("error_type"),
+        F.lit("no page").alias("error_message"),
+    )
+    answers = spark.range(0, 50, 2).select(F.col("id").alias("doc_id"), F.lit('{"a": 1}').alias("response"))
+    messages = spark.range(51).select(F.col("id").cast("string").alias("job_id"), F.concat(F.lit("k"), "id").alias("file_key"), F.lit("f").alias("filename"))
+    sinks.append(messages.coalesce(1), str(tmp_path / "queue"))
+    stream = files.queue_stream(spark, str(tmp_path / "queue"))
+    out, events = str(tmp_path / "out"), str(tmp_path / "events")
+    run(streams.run_jobs(stream, docs, answers, out, str(tmp_path / "cp"), events))
+    assert read.value <= 2 * 50
+    done = spark.read.parquet(out)
+    assert {int(r.job_id) for r in done.collect()} == set(range(50)) - {3}
+    assert {int(r.job_id) for r in done.filter("ai_extraction").collect()} == set(range(0, 50, 2))
+    failed = spark.read.parquet(events).filter("status = 'failed'").collect()
+    assert {(r.job_id, r.error) for r in failed} == {("3", "ValueError: no page"), ("50", "Storage download failed: k50")}
+
+
+def test_near_rows_hold_all_matching_ones(spark, tmp_path, monkeypatch):
+    rows = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("file_key"), F.col("id").alias("doc_id"))
+    table = keyed.save_keyed(rows, str(tmp_path / "table"), "file_key", 4)
+    asked = rows.filter("doc_id < 2000").select("file_key")
+    assert {r.doc_id for r in table.near(asked).collect()} == set(range(2000))
+    assert "SortMergeJoin" not in plan_of(table.near(asked), "simple")
+    monkeypatch.setattr(keyed, "SENT_KEYS", 1)
+    assert {r.doc_id for r in table.near(asked).collect()} >= set(range(2000))
+    assert table.matching(asked).count() == 2000
+
+
 def test_jobs_stream_with_keyed_tables(spark, tmp_path):
     docs = spark.range(200).select(
         F.concat(F.lit("k"), "id").alias("file_key"),
