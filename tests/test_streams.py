@@ -238,6 +238,22 @@ def test_a_batch_opens_only_the_folders_of_its_keys(spark, tmp_path):
     assert table.matching(one.limit(0)).count() == 0
 
 
+def test_a_dealt_queue_has_each_batch_open_few_folders(spark, tmp_path):
+    messages = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("file_key"), F.col("id").cast("string").alias("job_id"))
+    messages = messages.unionByName(messages.limit(5).withColumn("file_key", F.lit(None).cast("string")))
+    path, size = str(tmp_path / "queue"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        keyed.append_dealt(messages, path, "file_key", 8)
+    finally:
+        spark.conf.unset(size)
+    landed = spark.read.parquet(path)
+    assert sorted(landed.select(messages.columns).collect(), key=str) == sorted(messages.collect(), key=str)
+    files_of = landed.select(F.input_file_name().alias("f"), keyed.part_of("file_key", 8).alias("part"))
+    opened = files_of.groupBy("f").agg(F.count_distinct("part").alias("n")).collect()
+    assert len(opened) > 4 and max(r.n for r in opened) < 8 and sum(r.n for r in opened) < 4 * len(opened)
+
+
 def test_a_batch_reads_its_documents_twice(spark, tmp_path):
     """Once for what is narrow, once for texts; jobs that are lost or broken are told from the narrow part."""
     read = spark.sparkContext.accumulator(0)
